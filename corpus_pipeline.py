@@ -1,12 +1,51 @@
-"""A corpus pipeline of the text operators, each stage written as Parquet and read again as the next one's documents."""
+"""A corpus pipeline of the text operators, each stage written as Parquet and read again as the next one's documents.
+
+Toxicity and language identification drop the documents that they reject; line dedup shortens texts; near-duplicate removal keeps the document with the least doc_id of each group; packing lays the rest out in training sequences.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from wayloom.llm import langid, toxicity
 from wayloom.llm.common import written
+from wayloom.llm.linededup import dedup_lines
+from wayloom.llm.minhash import near_duplicates
+from wayloom.llm.packing import pack_documents
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a score under 0.5; the classifier is trained on labels of the documents at hand."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+
+
+def drop_foreign(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text some language model of the corpus accepts; texts without a letter go."""
+    return langid.identify(docs, langid.train(docs)).where("not rejected").select(*docs.columns)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their texts freed of passages that stand earlier in the corpus; n_chars follows."""
+    cut = dedup_lines(docs)
+    return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five words, similarity 0.8); rows that repeat a doc_id count as copies."""
+    kept = near_duplicates(docs).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
+    once = Window.partitionBy("doc_id").orderBy("doc_id")
+    named = docs.join(kept, F.col("doc_id") == F.col("kept_id")).withColumn("kept_id", F.row_number().over(once)).where("kept_id = 1").select(*docs.columns)
+    return named.unionByName(docs.where("doc_id is null"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of every document in training sequences."""
+    return pack_documents(docs)
+
 
-STAGES: list = []
+STAGES = [("toxicity", drop_toxic), ("language id", drop_foreign), ("line dedup", drop_lines), ("minhash near-dedup", drop_near_copies), ("best-fit packing", pack)]
 
 #: SQL can't express the trained stages.
 ORACLE_SQL = None
@@ -15,6 +54,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply STAGES to documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "_"))
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)
