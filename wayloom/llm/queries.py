@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wayloom.llm import langid, toxicity
+from wayloom.llm import idstore, langid, toxicity
+from wayloom.llm.common import shared_dir
 from wayloom.llm.linededup import dedup_lines
 from wayloom.llm.minhash import near_duplicates
 from wayloom.llm.packing import pack_documents
@@ -42,8 +45,14 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
 
 
+def op10_token_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/wayloom/store-{uuid.uuid4().hex}"
+    idstore.write_store(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), path)
+    return idstore.read_sums(spark, path)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_minhash_near_dedup, op3_toxicity, op6_line_dedup, op8_best_fit_packing, op9_language_id)}
+    return {f.__name__: f for f in (op2_minhash_near_dedup, op3_toxicity, op6_line_dedup, op8_best_fit_packing, op9_language_id, op10_token_id_store)}
 
 
 def oracle_sql() -> dict[str, str]:
