@@ -13,6 +13,7 @@ from wayloom.llm import idstore, langid, toxicity
 from wayloom.llm.common import shared_dir
 from wayloom.llm.linededup import dedup_lines
 from wayloom.llm.minhash import near_duplicates
+from wayloom.llm.orderminhash import fingerprints
 from wayloom.llm.packing import pack_documents
 
 
@@ -31,6 +32,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -52,7 +57,7 @@ def op10_token_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_minhash_near_dedup, op3_toxicity, op6_line_dedup, op8_best_fit_packing, op9_language_id, op10_token_id_store)}
+    return {f.__name__: f for f in (op2_minhash_near_dedup, op3_toxicity, op5_order_minhash, op6_line_dedup, op8_best_fit_packing, op9_language_id, op10_token_id_store)}
 
 
 def oracle_sql() -> dict[str, str]:
