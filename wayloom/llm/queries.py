@@ -12,15 +12,22 @@ from pyspark.sql import functions as F
 from wayloom.llm import idstore, langid, toxicity
 from wayloom.llm.common import shared_dir
 from wayloom.llm.linededup import dedup_lines
+from wayloom.llm.mergedropout import round_trip
 from wayloom.llm.minhash import near_duplicates
+from wayloom.llm.neardup_vectors import near_duplicate_vectors
 from wayloom.llm.orderminhash import fingerprints
 from wayloom.llm.packing import pack_documents
+from wayloom.llm.tokencount import count_tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
 
@@ -32,6 +39,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op5_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(_table(spark, sf_dir, "documents"))
 
@@ -40,6 +51,10 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
@@ -57,7 +72,7 @@ def op10_token_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_minhash_near_dedup, op3_toxicity, op5_order_minhash, op6_line_dedup, op8_best_fit_packing, op9_language_id, op10_token_id_store)}
+    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_minhash_near_dedup, op3_toxicity, op4_token_counts, op5_order_minhash, op6_line_dedup, op7_merge_dropout, op8_best_fit_packing, op9_language_id, op10_token_id_store)}
 
 
 def oracle_sql() -> dict[str, str]:
