@@ -1,6 +1,6 @@
 """Near-duplicate documents by MinHash bands, odd sketches and an exact check of whole shingle sets.
 
-Stages: every text becomes its set of distinct word shingles (as 64-bit hashes), a MinHash sample, band keys and an odd sketch, the parity bitmap of the hashed sample (Mitzenmacher, Pagh and Pham, 2014). Documents with equal sets are one class. Within a band key each class is compared with the least class of that key (a star, so linear in the key's size); the classes that remain apart are compared in tiles of bounded size. The XOR population count of two odd sketches gives a precise estimate at high similarity and drops most candidates; the rest are checked on the full sets.
+Stages: every text becomes its set of distinct word shingles (as 64-bit hashes), a MinHash sample, band keys and an odd sketch, the parity bitmap of the hashed sample (Mitzenmacher, Pagh and Pham, 2014). Documents with equal sets are one class. Within a band key each class is compared with the least class of that key (a star, so linear in the key's size); components that remain apart but have near sketches somewhere form a group, within which tiles of bounded size compare full sets. The XOR population count of two odd sketches gives a precise estimate at high similarity and drops most candidates; every link is checked on the full sets, and a tile returns no more pairs than it needs to join its components.
 """
 
 from __future__ import annotations
@@ -18,7 +18,8 @@ from wayloom.llm.common import MIX_A, connected_components, mix64, written
 BANDS, ROWS, SKETCH_BITS = 32, 4, 512
 #: A sample's estimate lies this far under the true similarity with a chance of about 1e-8.
 MARGIN = 0.17
-TILE = 512
+#: Most rows, on average, of one side of a tile.
+TILE = 256
 
 
 class _WordHashes(dict):
@@ -130,69 +131,125 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) ->
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_verifier(width, percent), "a long, b long")
 
 
-def _tiler(limit: int, forest: bool):
-    """From rows sorted by tile: the pairs of different components, not of the key's star, whose sketches are near.
+def _find(root: dict[int, int], x: int) -> int:
+    while (up := root.get(x, x)) != x:
+        root[x] = root.get(up, up)
+        x = up
+    return x
 
-    forest: of these only the closest that join components within the tile, so at most one pair less than the tile has rows.
-    """
 
-    def pairs_of(left, sides, doc, comp, lead, sketch):
-        if comp.min() == comp.max():
-            return np.empty((0, 2), np.int64)
-        one, two = np.flatnonzero(sides != 1), np.flatnonzero(sides != 0)
-        far = np.zeros((len(one), len(two)), np.int16)
-        for w in range(sketch.shape[1]):
-            far += np.bitwise_count(sketch[one, w][:, None] ^ sketch[two, w][None, :])
-        ok = (far <= limit) & (comp[one][:, None] != comp[two][None, :])
-        ok &= (doc[one] != lead[one])[:, None] & (doc[two] != lead[two])[None, :]
-        if left:  # both sides are the same rows
-            ok &= doc[one][:, None] < doc[two][None, :]
-        i, j = np.nonzero(ok)
-        if forest and len(i):
-            root: dict[int, int] = {}
-
-            def find(x):
-                while (up := root.get(x, x)) != x:
-                    root[x] = root.get(up, up)
-                    x = up
-                return x
-
-            keep = []
-            for k in np.lexsort((doc[two[j]], doc[one[i]], far[i, j])):
-                p, q = find(int(comp[one[i[k]]])), find(int(comp[two[j[k]]]))
-                if p != q:
-                    root[max(p, q)] = min(p, q)
-                    keep.append(k)
-            i, j = i[keep], j[keep]
-        return np.stack([doc[one[i]], doc[two[j]]], axis=1)
-
-    def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _forest(root: dict[int, int], ones, twos) -> list[int]:
+    """Places of the pairs that join what root holds apart, in the order given; root takes them in."""
+    keep = []
+    for k, (x, y) in enumerate(zip(ones.tolist(), twos.tolist(), strict=True)):
+        p, q = _find(root, x), _find(root, y)
+        if p != q:
+            root[max(p, q)] = min(p, q)
+            keep.append(k)
+    return keep
+
+
+def _by_tile(found, n_keys: int = 3):
+    """Arrow mapper: calls found on the table of each tile (equal first n_keys columns, by which rows come sorted) and returns its pairs (a, b)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
 
-        def done(table):
-            cols = [table.column(k).to_numpy(zero_copy_only=False) for k in ("key", "i", "j", "side", "doc", "comp", "leader")]
-            sketch = np.stack([table.column(c).to_numpy(zero_copy_only=False) for c in table.schema.names if c.startswith("s_")], axis=1).view(np.uint64)
-            key, i, j, side, doc, comp, lead = cols
-            cut = np.flatnonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
-            found = [pairs_of(i[a] == j[a], np.full(b - a, 2) if i[a] == j[a] else side[a:b], doc[a:b], comp[a:b], lead[a:b], sketch[a:b]) for a, b in zip([0, *cut], [*cut, len(key)], strict=True)]
-            found = np.unique(np.concatenate(found), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(found[:, 0], found[:, 1])), pa.array(np.maximum(found[:, 0], found[:, 1]))], names=["b", "a"])
+        def out(table: pa.Table) -> pa.RecordBatch:
+            keys = [table.column(k).to_numpy() for k in range(n_keys)]
+            cut = np.flatnonzero(np.logical_or.reduce([np.diff(k) != 0 for k in keys])) + 1
+            pairs = [found(table.slice(x, y - x)) for x, y in zip([0, *cut.tolist()], [*cut.tolist(), table.num_rows], strict=True)]
+            pairs = np.unique(np.concatenate(pairs), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             held.append(batch)
+            last = [batch.column(k)[-1].as_py() for k in range(n_keys)]
+            if [held[0].column(k)[0].as_py() for k in range(n_keys)] == last:
+                continue  # one tile so far; tiles are of bounded size
             table = pa.Table.from_batches(held).combine_chunks()
-            tail = [table.column(k)[-1].as_py() for k in ("key", "i", "j")]
-            same = np.logical_and.reduce([table.column(k).to_numpy() == v for k, v in zip(("key", "i", "j"), tail, strict=True)])
-            first = len(same) - int(np.argmin(same[::-1])) if not same.all() else 0
-            if first:
-                yield done(table.slice(0, first))
+            same = np.logical_and.reduce([table.column(k).to_numpy() == v for k, v in enumerate(last)])
+            first = int(np.flatnonzero(~same)[-1]) + 1
+            yield out(table.slice(0, first))
             held = table.slice(first).combine_chunks().to_batches()
         if held:
-            yield done(pa.Table.from_batches(held))
+            yield out(pa.Table.from_batches(held).combine_chunks())
+
+    return run
+
+
+_NONE = np.empty((0, 2), np.int64)
+
+
+def _near_sketches(limit: int):
+    """Of a tile (key, i, j, side, doc, comp, leader, sketch words): pairs of components, a forest of those with near sketches.
+
+    Pairs with the key's leader have been checked before.
+    """
+
+    def found(tile: pa.Table) -> np.ndarray:
+        side, doc, comp, lead = (tile.column(k).to_numpy() for k in ("side", "doc", "comp", "leader"))
+        if comp.min() == comp.max():
+            return _NONE
+        same = tile.column("i")[0].as_py() == tile.column("j")[0].as_py()
+        one, two = (np.arange(len(doc)),) * 2 if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+        far = np.zeros((len(one), len(two)), np.int16)
+        for name in tile.schema.names[7:]:
+            word = tile.column(name).to_numpy().view(np.uint64)
+            far += np.bitwise_count(word[one][:, None] ^ word[two][None, :])
+        ok = (far <= limit) & (comp[one][:, None] != comp[two][None, :]) & (doc[one] != lead[one])[:, None] & (doc[two] != lead[two])[None, :]
+        i, j = np.nonzero(ok)
+        ones, twos = comp[one[i]], comp[two[j]]
+        keep = _forest({}, ones, twos)
+        return np.stack([ones[keep], twos[keep]], axis=1)
+
+    return found
+
+
+def _linked_sets(width: int, percent: int, block: int = 8192):
+    """Of a tile (group, i, j, side, doc, comp, text): links between components, a forest of those that hold on full sets.
+
+    The intersections of all pairs come from a product of 0/1 matrices over the shingles that stand on both sides, by blocks of columns.
+    """
+
+    def found(tile: pa.Table) -> np.ndarray:
+        side, doc, comp = (tile.column(k).to_numpy() for k in ("side", "doc", "comp"))
+        if comp.min() == comp.max():
+            return _NONE
+        words = _WordHashes()
+        sets = [shingle_hashes(t.as_py(), width, words) for t in tile.column("text")]
+        size = np.fromiter(map(len, sets), np.int64, len(sets))
+        same = tile.column("i")[0].as_py() == tile.column("j")[0].as_py()
+        one, two = (np.arange(len(doc)),) * 2 if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+        if not len(one) or not len(two):
+            return _NONE
+        flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+        values, at, count = np.unique(flat, return_inverse=True, return_counts=True)
+        wanted = np.flatnonzero(count > 1)
+        place = np.full(len(values), -1)
+        place[wanted] = np.arange(len(wanted))
+        at = place[at]
+        both = np.zeros((len(one), len(two)), np.float32)
+        for k in range(0, len(wanted), block):
+            dense = np.zeros((len(sets), min(block, len(wanted) - k)), np.float32)
+            own = (at >= k) & (at < k + block)
+            dense[owner[own], at[own] - k] = 1
+            both += dense[one] @ dense[two].T
+        both = both.astype(np.int64)
+        ok = (100 * both >= percent * (size[one][:, None] + size[two][None, :] - both)) & (comp[one][:, None] != comp[two][None, :])
+        i, j = np.nonzero(ok)
+        keep = _forest({}, comp[one[i]], comp[two[j]])
+        return np.stack([doc[one[i[keep]]], doc[two[j[keep]]]], axis=1)
+
+    return found
+
 
-    return tiles
+def _tiles(rows: DataFrame, chunk, chunks, reach) -> DataFrame:
+    """rows dealt to the tiles (key, i, j) of their chunk with each chunk under reach; side tells the chunk i from j."""
+    dealt = rows.withColumn("c", chunk.cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.when(F.col("c") < reach, chunks).otherwise(reach).cast("int") - 1)))
+    return dealt.withColumn("i", F.least("c", "other")).withColumn("j", F.greatest("c", "other")).withColumn("side", (F.col("c") > F.col("other")).cast("int"))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, bits: int = SKETCH_BITS, seed: int = 7) -> DataFrame:
@@ -224,26 +281,27 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     links = written(_confirmed(star.where(far <= limit).select("a", "b"), held, width, percent), "links")
     parts = written(connected_components(links), "parts")
 
-    tested = None
-    for forest in (True, False):
-        at = member.join(parts.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component")
-        apart = at.where("size > 2").groupBy("key").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).where("p <> q").select("key")
-        chunks = F.ceil(F.col("size") / TILE).cast("int")
-        rest = at.join(apart, "key").join(sketches, "doc").withColumn("chunks", chunks).withColumn("c", F.pmod(F.xxhash64("doc"), F.col("chunks")).cast("int"))
-        rest = rest.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-        rest = rest.select("key", F.least("c", "other").alias("i"), F.greatest("c", "other").alias("j"), (F.col("c") > F.col("other")).cast("int").alias("side"), "doc", "comp", "leader", *[f"s_{w}" for w in range(n_words)])
-        rest = rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        pairs = rest.mapInArrow(_tiler(limit, forest), "b long, a long").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
-        if pairs.isEmpty():
-            break
-        more = written(_confirmed(pairs.select("a", "b"), held, width, percent), "links")
-        tested = pairs
-        if not more.isEmpty():
-            links = links.unionByName(more)
-            parts = written(connected_components(links), "parts")
+    # of keys that hold several components: which of these have near sketches anywhere
+    at = member.where("size > 2").join(parts.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("component", "doc"))
+    apart = at.groupBy("key").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).where("p <> q").select("key")
+    chunks = F.ceil(F.col("size") / TILE).cast("int")
+    rest = _tiles(at.join(apart, "key").join(sketches, "doc"), F.pmod(F.xxhash64("doc"), chunks), chunks, chunks)
+    rest = rest.select("key", "i", "j", "side", "doc", "comp", "leader", *[f"s_{w}" for w in range(n_words)])
+    rest = rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    near = written(rest.mapInArrow(_by_tile(_near_sketches(limit)), "a long, b long").distinct(), "near")
+    if not near.isEmpty():
+        # components that near sketches join are a group; in it, all but the largest component's documents meet all others with their full sets
+        group = connected_components(near).select(F.col("node").alias("comp"), F.col("component").alias("group"))
+        docs_of = member.select("doc").distinct().join(parts.withColumnRenamed("node", "doc"), "doc", "left").select("doc", F.coalesce("component", "doc").alias("comp"))
+        sizes = group.join(docs_of.groupBy("comp").agg(F.count("*").alias("n")), "comp")
+        largest = sizes.groupBy("group").agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("n")).select("group", F.col("most.comp").alias("major"), F.ceil(F.col("most.n") / TILE).alias("major_chunks"), F.ceil((F.col("n") - F.col("most.n")) / TILE).alias("minor_chunks"))
+        placed = written(docs_of.join(group, "comp").join(largest, "group"), "placed")
+        minor, salt = F.col("minor_chunks"), F.xxhash64("doc")
+        chunk = F.when(F.col("comp") == F.col("major"), minor + F.pmod(salt, F.col("major_chunks"))).otherwise(F.pmod(salt, minor))
+        rest = _tiles(placed.join(held.withColumnRenamed("doc_id", "doc"), "doc"), chunk, minor + F.col("major_chunks"), minor)
+        rest = rest.select("group", "i", "j", "side", "doc", "comp", "text").repartition("group", "i", "j").sortWithinPartitions("group", "i", "j")
+        more = rest.mapInArrow(_by_tile(_linked_sets(width, percent)), "a long, b long").distinct()
+        parts = written(connected_components(links.unionByName(more)), "parts")
 
     found = classes.join(parts.withColumnRenamed("node", "doc"), "doc", "left").select("set_a", "set_b", F.coalesce("component", "doc").alias("component"))
     return signed.join(found, ["set_a", "set_b"], "left").select(
