@@ -174,13 +174,13 @@ def _logistic(rows: list[np.ndarray], target: np.ndarray, width: int, l2: float
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> ToxicityModel:
     """Fit on text of docs and toxic of labels, over rows with both that are not held out.
 
-    At most about max_rows labelled rows, by the hash of doc_id. The driver gets FEATURES features, and of each sampled row the indices of those it has. Without a labelled row, or with one class only, the model scores every text by the share of toxic rows.
+    At most about max_rows labelled rows, by the hash of doc_id; their ids and labels, which that bounds, are broadcast, so no text is shuffled. The driver gets FEATURES features, and of each sampled row the indices of those it has. Without a labelled row, or with one class only, the model scores every text by the share of toxic rows.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = known.count()
     share = min(1.0, max_rows / max(n, 1))
     known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < int(share * 1_000_000))
-    rows = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text").join(known, "doc_id").select("text", "toxic")
+    rows = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "toxic")
     counts = rows.mapInArrow(_counts, "feature long, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     size = known.groupBy().agg(F.sum(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("p"), F.count("*").alias("n")).first()
     p, total = float(size["p"] or 0), float(size["n"] or 0)
