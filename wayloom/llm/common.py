@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from wayloom.plans.lineage import connected_components, remove, shared_dir, written
+
+__all__ = ["MIX_A", "MIX_B", "MIX_C", "connected_components", "mix64", "remove", "shared_dir", "written"]
 
 #: Odd 64-bit multipliers of the mixing functions below.
 MIX_A = np.uint64(0x9E3779B97F4A7C15)
@@ -21,65 +19,3 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * MIX_B
     x = (x ^ (x >> np.uint64(27))) * MIX_C
     return x ^ (x >> np.uint64(31))
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset (tests), a temporary one."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="wayloom-"))
-        named = spark.sparkContext.getCheckpointDir()
-    return named.rstrip("/")
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder through Hadoop's file system API."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
-
-
-def _remove_late(spark: SparkSession, path: str) -> None:
-    try:
-        remove(spark, path)
-    except Exception:  # noqa: BLE001 - the session may be gone by now, and then the cluster's own clean-up has it
-        pass
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet into the shared folder and read it back.
-
-    The files survive lost executors. They are removed when the driver's Python ends, as lazy results may read them until then; ``.path`` names them.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/wayloom/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove_late, spark, path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.path = path
-    return out
-
-
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, component) for every node of edges (a, b): component is the least node reachable.
-
-    Alternating large-star and small-star rounds (Kiveris et al., 2014), each a partial aggregate and a join, each written before the next; no edge list ever reaches the driver. Self-loops and repeated edges do no harm.
-    """
-    spark = edges.sparkSession
-    now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
-    for _ in range(max_rounds):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = joined.select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        after = written(small, "edges")
-        state = [d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() for d in (now, after)]
-        remove(spark, now.path)
-        now = after
-        if state[0] == state[1]:
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    # settled: every node points straight at its root
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
