@@ -52,6 +52,14 @@ def test_dropout_varies_repeats_and_decodes(texts):
     assert len(every(1, "abc")) == 4
 
 
+def test_both_agendas_agree(texts):
+    encoder = mergedropout.DropoutEncoder(PATH, 0.3, 5)
+    for t in texts:
+        for chunk in t.split(" ")[:50]:
+            if 0 < len(chunk) < 200:
+                assert encoder._merge_short(list("▁" + chunk), 12345) == encoder._merge_long(list("▁" + chunk), 12345)
+
+
 def test_frames(odd_docs, no_docs):
     n = odd_docs.count()
     counts = tokencount.count_tokens(odd_docs, PATH).collect()
