@@ -22,6 +22,10 @@ WINDOW, DIVISOR, LEAST, MOST = 16, 256, 64, 2048
 WIDTH = "<u2"
 _BREAK = re.compile(r"(?<=\S) ")
 _DOUBLE = re.compile(r"\s ")
+#: Letters (all of long standing in Unicode), then at least one run of marks or one newline; pre-tokens end between them, and before letters after a newline.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_SIMPLE = re.compile(f"[{_LETTERS}]+(?:[.,;:!?%&*#$|]+|(?<!\n)\n(?=[{_LETTERS}])|(?<=\n)[{_LETTERS}]+)+")
+_TOKENS = re.compile(f"[{_LETTERS}]+|[.,;:!?%&*#$|]+|\n")
 
 
 class Encoder:
@@ -30,7 +34,7 @@ class Encoder:
     A space after a character that is no white space always begins a pre-token, so a text is encoded by the pieces between such spaces; pieces are remembered, and forgotten when there are many. Texts with a special token's string go through the library whole.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -38,13 +42,45 @@ class Encoder:
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids need more than 16 bits")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocab = self.tokenizer.get_vocab()
+        self.token_bytes = np.zeros(max(vocab.values()) + 1, np.int64)
+        for token, i in vocab.items():
+            self.token_bytes[i] = len(token)  # in a byte-level vocabulary a character stands for a byte
         self.first: dict[str, bytes] = {}
         self.later: dict[str, bytes] = {}
+        self.bare: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, WIDTH).tobytes() for x in found]
 
+    def _learn(self, parts: list[str], together: int = 32) -> None:
+        """Remember the ids of pieces with the space before them.
+
+        Words with marks are put together from their pre-tokens. Others are encoded several in one call: a piece that ends in no white space also ends a pre-token, so the ids of a row of pieces part by their bytes.
+        """
+        simple = {p: _TOKENS.findall(p) for p in parts if not p.isalpha() and _SIMPLE.fullmatch(p)}
+        self._encode_rows({t[0] for t in simple.values()}.union(p for p in parts if p not in simple).difference(self.later), together)
+        bare = list({x for t in simple.values() for x in t[1:]}.difference(self.bare))
+        self.bare.update(zip(bare, self._ids(bare), strict=True))
+        for p, (head, *rest) in simple.items():
+            self.later[p] = self.later[head] + b"".join(map(self.bare.__getitem__, rest))
+
+    def _encode_rows(self, parts: set[str], together: int) -> None:
+        firm = [p for p in parts if p and not p[-1].isspace()]
+        loose = [p for p in parts if not p or p[-1].isspace()]
+        self.later.update(zip(loose, self._ids([f" {p}" for p in loose]), strict=True))
+        rows = [firm[k : k + together] for k in range(0, len(firm), together)]
+        found = self.tokenizer.encode_batch_fast([" " + " ".join(r) for r in rows], add_special_tokens=False)
+        for row, got in zip(rows, found, strict=True):
+            ids = np.array(got.ids, WIDTH)
+            ends = np.cumsum([(len(p) if p.isascii() else len(p.encode("utf-8", "surrogatepass"))) + 1 for p in row])
+            at = (2 * np.searchsorted(np.cumsum(self.token_bytes[ids]), ends) + 2).tolist()
+            raw, last = ids.tobytes(), 0
+            for p, end in zip(row, at, strict=True):
+                self.later[p] = raw[last:end]
+                last = end
+
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         split: list[list[str] | None] = []
         for text in texts:
@@ -54,14 +90,14 @@ class Encoder:
                 split.append(None)
             else:
                 split.append(text.split(" ") if not _DOUBLE.search(text) else _BREAK.split(text))
-        if len(self.first) + len(self.later) > self.most:
-            self.first, self.later = {}, {}
+        if len(self.first) + len(self.later) + len(self.bare) > self.most:
+            self.first, self.later, self.bare = {}, {}, {}
         new = list({p[0] for p in split if p}.difference(self.first))
         self.first.update(zip(new, self._ids(new), strict=True))
         new = list(set().union(*[p[1:] for p in split if p]).difference(self.later))
         for at in range(0, len(new), 20_000):
             part = new[at : at + 20_000]
-            self.later.update(zip(part, self._ids([f" {p}" for p in part]), strict=True))
+            self._learn(part)
         later = self.later.__getitem__
         return [self._ids([text])[0] if parts is None else self.first[parts[0]] + b"".join(map(later, parts[1:])) if parts else b"" for text, parts in zip(texts, split, strict=True)]
 
@@ -111,7 +147,7 @@ def _encode(path: str):
                         body = raw[2 * last : 2 * end]
                         leaves.append(leaf := digest(body))
                         if leaf not in seen:
-                            if len(seen) > 1_000_000:
+                            if len(seen) > 300_000:
                                 seen.clear()
                             seen.add(leaf)
                             keys.append(leaf), bodies.append(body)
