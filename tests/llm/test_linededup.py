@@ -43,6 +43,17 @@ def test_planted_passages_go_and_clean_texts_stay(spark):
             assert "Yes.\nNo." in out
 
 
+def test_a_passage_repeated_only_inside_one_text_goes(spark):
+    rng = random.Random(3)
+    passage, solid = "\n".join(_line(rng, 9) for _ in range(14)), _line(rng, 60)
+    own = [_line(rng, rng.randint(12, 20)) for _ in range(7)]
+    rows = [(1, "\n".join([own[0], solid, own[1], solid, own[2]])), (2, "\n".join([own[3], passage, own[4], passage])), (3, "\n".join([own[5], "Yes.", own[6], "Yes."]))]
+    got = {r["doc_id"]: r for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1]["text"].count(solid) == 1 and got[1]["n_removed"] == 1
+    assert all(got[2]["text"].count(x) == 1 for x in passage.split("\n")[3:-3]) and passage in got[2]["text"]
+    assert got[3]["text"] == rows[2][1] and got[3]["n_removed"] == 0
+
+
 def test_odd_rows(odd_docs, no_docs):
     got = dedup_lines(odd_docs)
     assert got.count() == odd_docs.count() and got.columns == [c for c in odd_docs.columns if c != "n_lines"] + ["n_lines", "n_removed"]

@@ -46,31 +46,34 @@ def line_chunks(text: str, window: int = WINDOW, divisor: int = DIVISOR, long_li
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, place, h1, h2, chunk) of the chunks with a word; of a chunk's repeats within one text the first."""
+    """(doc_id, place, h1, h2, times, chunk) of the chunks with a word; of a chunk's repeats within one text the first, with their number."""
     for batch in batches:
         for at in range(0, batch.num_rows, 1000):
-            ids, places, digests, bodies = [], [], [], []
+            ids, places, digests, times, bodies = [], [], [], [], []
             for key, text in zip(batch.column(0).slice(at, 1000).to_pylist(), batch.column(1).slice(at, 1000), strict=True):
-                text, seen = text.as_py(), set()
+                text, seen = text.as_py(), {}
                 lines = text.split("\n")
                 for place, (a, b) in enumerate(line_chunks(text)):
                     body = "\n".join(lines[a:b]).encode("utf-8", "surrogatepass")
                     if not body.strip():
                         continue
                     digest = xxhash.xxh3_128_digest(body)
-                    if digest not in seen:
-                        seen.add(digest)
-                        ids.append(key), places.append(place), digests.append(digest), bodies.append(body)
+                    if digest in seen:
+                        seen[digest][2] += 1
+                    else:
+                        seen[digest] = [place, body, 1]
+                for digest, (place, body, n) in seen.items():
+                    ids.append(key), places.append(place), digests.append(digest), times.append(n), bodies.append(body)
                     if len(ids) >= 20_000:
-                        yield _batch(ids, places, digests, bodies)
-                        ids, places, digests, bodies = [], [], [], []
+                        yield _batch(ids, places, digests, times, bodies)
+                        ids, places, digests, times, bodies = [], [], [], [], []
             if ids:
-                yield _batch(ids, places, digests, bodies)
+                yield _batch(ids, places, digests, times, bodies)
 
 
-def _batch(ids, places, digests, bodies):
+def _batch(ids, places, digests, times, bodies):
     d = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), pa.array(bodies, pa.binary())], names=["doc_id", "place", "h1", "h2", "chunk"])
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(places, pa.int32()), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy()), pa.array(times, pa.int32()), pa.array(bodies, pa.binary())], names=["doc_id", "place", "h1", "h2", "times", "chunk"])
 
 
 def _rewrite(names: list[str], run_words: int):
@@ -128,9 +131,9 @@ def dedup_lines(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     """
     docs = docs.drop("n_lines", "n_removed")
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null and text <> ''")
-    chunks = some.mapInArrow(_chunks, "doc_id long, place int, h1 long, h2 long, chunk binary")
+    chunks = some.mapInArrow(_chunks, "doc_id long, place int, h1 long, h2 long, times int, chunk binary")
     at = F.struct("doc_id", "place")
-    found = written(chunks.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.count("*").alias("n"), F.min_by("chunk", at).alias("chunk")).where("n > 1").select("h1", "h2", F.col("first.doc_id").alias("doc"), "first.place", "chunk"), "repeated")
+    found = written(chunks.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.sum("times").alias("n"), F.min_by("chunk", at).alias("chunk")).where("n > 1").select("h1", "h2", F.col("first.doc_id").alias("doc"), "first.place", "chunk"), "repeated")
     where = some.mapInArrow(_places, "doc_id long, h1 long, h2 long")
     known = where.join(found, ["h1", "h2"]).groupBy("doc_id").agg(F.collect_list(F.struct("doc", "place", "chunk")).alias("first"))
     known = known.select(F.col("doc_id").alias("known_of"), F.col("first").alias("known_first"))
