@@ -1,6 +1,7 @@
 """Token counts and merge-dropout against the library itself."""
 
 import random
+from collections import Counter
 
 import public_tokenizers
 import pytest
@@ -8,6 +9,7 @@ import sentencepiece
 
 from tests.llm.sp_model import as_unigram
 from wayloom.llm import mergedropout, tokencount
+from wayloom.llm.pieces import LITERAL, chunks_of, whole
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -52,6 +54,33 @@ def test_dropout_varies_repeats_and_decodes(texts):
     assert len(every(1, "abc")) == 4
 
 
+def test_each_occurrence_draws_its_own_skips(texts):
+    encoder = mergedropout.DropoutEncoder(PATH, 0.1, 1)
+    ids = encoder(1, " ".join(["information"] * 20_000))
+    words, raw = [], encoder.table.raw
+    for i in ids.tolist():
+        if raw[i].startswith(b" "):
+            words.append([])
+        words[-1].append(i)
+    kinds = Counter(map(tuple, words))
+    plain = tuple(mergedropout.DropoutEncoder(PATH, 0.0, 1)(1, "information").tolist())
+    met = []
+    encoder.merge("▁information", 0, lambda c: met.append(c) or False)
+    assert len(words) == 20_000 and len(kinds) > 20 and kinds[plain] / 20_000 >= 0.9 ** len(met) - 0.02
+    assert sum(n for k, n in kinds.items() if k != plain) > 1000
+    assert len({tuple(encoder(k, "of information").tolist()) for k in range(200)}) > 4
+
+
+def test_remembered_skips_equal_merging_anew(texts):
+    for dropout in (0.1, 0.5):
+        encoder = mergedropout.DropoutEncoder(PATH, dropout, 3, most=2000)
+        docs = list(range(len(texts)))
+        for k, t, ids in zip(docs, texts, encoder.many(docs, texts), strict=True):
+            parts = chunks_of(t.replace("▁", LITERAL)) if t else []
+            anew = [encoder.merge(whole(c), int(key)) for c, key in zip(parts, encoder.keys([k], [len(parts)]), strict=True)]
+            assert ids.tolist() == [i for x in anew for i in x]
+
+
 def test_both_agendas_agree(texts):
     encoder = mergedropout.DropoutEncoder(PATH, 0.3, 5)
     for t in texts:

@@ -1,6 +1,6 @@
 """SentencePiece BPE with seeded merge-dropout, and its decoding.
 
-A chunk's characters are merged in the order of an agenda, best rank first, leftmost on ties. Each candidate merge taken from the agenda is skipped if a hash keyed by the seed, the chunk's variant, its place and its piece falls under the dropout rate. The variant comes from the seed, the document and the word's number, so the same word is cut in several ways while a run always repeats. Without dropout the ids are those of the library; with any dropout they decode to the text, byte for byte.
+A chunk's characters are merged in the order of an agenda, best rank first, leftmost on ties. Each candidate merge taken from the agenda is skipped if a hash keyed by the seed, the document, the word's number, the merge's place and its piece falls under the dropout rate, so each occurrence of a word is cut on its own while a run always repeats. What follows a set of skips is always the same; it is remembered and only the skips are drawn anew. Without dropout the ids are those of the library; with any dropout they decode to the text, byte for byte.
 """
 
 from __future__ import annotations
@@ -8,37 +8,51 @@ from __future__ import annotations
 import heapq
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayloom.llm.common import MIX_A, mix64
+from wayloom.llm.common import MIX_A, MIX_B, MIX_C, mix64
 from wayloom.llm.pieces import LITERAL, SPACE, PieceTable, chunks_of, whole
 
-VARIANTS = 4
-#: Up to so many characters a plain list is the agenda.
+#: Up to so many characters a plain list is the agenda and what follows skips is remembered.
 SHORT = 48
+#: Up to so many skips of a word are remembered; with more it is merged anew.
+DEPTH = 2
+#: Documents whose words are drawn together.
+TOGETHER = 100
 _M = (1 << 64) - 1
+_A, _B, _C = int(MIX_A), int(MIX_B), int(MIX_C)
 
 
 class DropoutEncoder:
-    """Encodes chunks in VARIANTS ways and remembers them; forgets all when there are many."""
+    """Encodes chunks, each occurrence with its own skips.
 
-    def __init__(self, path: str, dropout: float, seed: int, variants: int = VARIANTS, most: int = 800_000):
+    A state is a chunk and the candidates skipped in it so far; it holds the candidates met after the last skip, and the ids if none of them is skipped. When there are many states, all are forgotten.
+    """
+
+    def __init__(self, path: str, dropout: float, seed: int, most: int = 500_000):
         self.table = PieceTable(path)
         self.rank = {p: -self.table.stored_score[i] for p, i in self.table.normal.items()}
-        self.seed, self.most, self.variants = seed, most, max(1, variants if dropout > 0 else 1)
+        self.seed, self.most = seed, most
         self.below = int(dropout * (1 << 53))
-        self.known: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-
-    def merge(self, chunk: str, variant: int) -> list[int]:
-        """ids of a chunk."""
-        key = xxhash.xxh3_64_intdigest(chunk.encode("utf-8", "surrogatepass"), self.seed * 1_000_003 + variant) if self.below else 0
-        symbols = (self._merge_short if len(chunk) <= SHORT else self._merge_long)(list(chunk), key)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.after: dict[int, int] = {}
+        #: State 0 stands for a chunk that isn't remembered.
+        self.skips: list[tuple[str, tuple[int, ...]]] = [("", ())]
+        self.ids: list[bytes] = [b""]
+        self.n_met = 0
+        self.met, self.begin, self.length = np.zeros(1 << 12, np.uint64), np.zeros(1 << 10, np.int64), np.zeros(1 << 10, np.int64)
+
+    def merge(self, chunk: str, key: int, skipped: Callable[[int], bool] | None = None) -> list[int]:
+        """ids of a chunk for an occurrence's key, or with the candidates that skipped chooses."""
+        symbols = (self._merge_short if len(chunk) <= SHORT else self._merge_long)(list(chunk), key, skipped)
         try:
             return list(map(self.table.normal.__getitem__, symbols))
         except KeyError:
@@ -48,12 +62,33 @@ class DropoutEncoder:
                 ids += [known] if known is not None else [self.table.byte_id[b] for b in (SPACE if s == LITERAL else s).encode("utf-8")]
             return ids
 
-    def _skipped(self, key: int, piece: int, place: int) -> bool:
-        return (((key ^ (piece * 0x9E3779B97F4A7C15 + place * 0xBF58476D1CE4E5B9)) * 0x94D049BB133111EB) & _M) >> 11 < self.below
-
-    def _merge_short(self, symbols: list[str], key: int) -> list[str]:
+    def _drawn(self, key: int) -> Callable[[int], bool]:
+        """Whether an occurrence with this key skips a candidate."""
+        return lambda candidate: (((key ^ candidate) * _C) & _M) >> 11 < self.below
+
+    def _state(self, chunk: str, skips: tuple[int, ...]) -> int:
+        met: list[int] = []
+
+        def skipped(candidate: int) -> bool:
+            met.append(candidate)
+            return candidate in skips
+
+        ids, n = self.merge(chunk, 0, skipped), len(self.skips)
+        rest = met[met.index(skips[-1]) + 1 :] if skips else met
+        while self.n_met + len(rest) > len(self.met):
+            self.met = np.concatenate([self.met, np.zeros_like(self.met)])
+        if n == len(self.begin):
+            self.begin, self.length = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.length))
+        self.met[self.n_met : self.n_met + len(rest)] = np.array(rest, np.uint64)
+        self.begin[n], self.length[n] = self.n_met, len(rest)
+        self.n_met += len(rest)
+        self.skips.append((chunk, skips))
+        self.ids.append(array("H", ids).tobytes())
+        return n
+
+    def _merge_short(self, symbols: list[str], key: int, skipped: Callable[[int], bool] | None = None) -> list[str]:
         """The agenda as a plain list of pair ranks, which is quickest for a word."""
-        rank, below, none = self.rank.get, self.below, float("inf")
+        rank, normal, none, skipped = self.rank.get, self.table.normal, float("inf"), skipped or self._drawn(key)
         ranks = [rank(x + y, none) for x, y in zip(symbols, symbols[1:], strict=False)]
         place = list(range(len(symbols)))
         while ranks:
@@ -62,7 +97,7 @@ class DropoutEncoder:
                 break
             i = ranks.index(best)
             pair = symbols[i] + symbols[i + 1]
-            if below and self._skipped(key, self.table.normal[pair], place[i]):
+            if skipped((normal[pair] * _A + place[i] * _B) & _M):
                 ranks[i] = none
                 continue
             symbols[i] = pair
@@ -73,9 +108,9 @@ class DropoutEncoder:
                 ranks[i] = rank(pair + symbols[i + 1], none)
         return symbols
 
-    def _merge_long(self, symbols: list[str], key: int) -> list[str]:
+    def _merge_long(self, symbols: list[str], key: int, skipped: Callable[[int], bool] | None = None) -> list[str]:
         """The agenda as a heap."""
-        rank, n = self.rank, len(symbols)
+        rank, n, skipped = self.rank, len(symbols), skipped or self._drawn(key)
         before, after = list(range(-1, n - 1)), [*range(1, n), -1]
         agenda = []
         for i in range(n - 1):
@@ -88,7 +123,7 @@ class DropoutEncoder:
             j = after[i]
             if j < 0 or not symbols[i] or symbols[i] + symbols[j] != pair:
                 continue  # one of the two has been merged since
-            if self.below and self._skipped(key, self.table.normal[pair], i):
+            if skipped((self.table.normal[pair] * _A + i * _B) & _M):
                 continue
             symbols[i], symbols[j] = pair, ""
             k = after[i] = after[j]
@@ -106,34 +141,67 @@ class DropoutEncoder:
 
     def __call__(self, doc_id: int | None, text: str | None) -> np.ndarray:
         """ids of a whole text as uint16; none for a null or empty one."""
-        if not text:
-            return np.zeros(0, np.uint16)
-        parts = chunks_of(text.replace(SPACE, LITERAL))
-        if self.variants == 1:
-            return np.frombuffer(b"".join(self._chunks(self.known[0], parts, 0)), np.uint16)
-        base = np.uint64(((doc_id or 0) * 0x9E3779B97F4A7C15 + self.seed) & _M)
-        which = mix64(np.arange(len(parts), dtype=np.uint64) * MIX_A + base) % np.uint64(self.variants)
-        parts_of = np.array(parts, object)
-        out = np.empty(len(parts), object)
-        for v in range(self.variants):
-            at = np.flatnonzero(which == v)
-            out[at] = self._chunks(self.known[v], parts_of[at].tolist(), v)
-        return np.frombuffer(b"".join(out.tolist()), np.uint16)
-
-    def _chunks(self, known: dict[str, bytes], parts: list[str], variant: int) -> list[bytes]:
+        return self.many([doc_id], [text])[0]
+
+    def many(self, docs: list[int | None], texts: list[str | None]) -> list[np.ndarray]:
+        """ids of each text."""
+        own = [chunks_of(t.replace(SPACE, LITERAL)) if t else [] for t in texts]
+        n = [len(x) for x in own]
+        parts, keys = [c for x in own for c in x], self.keys(docs, n)
+        out: list[bytes] = []
+        for at in range(0, len(parts), 50_000):
+            out += self._chunks(parts[at : at + 50_000], keys[at : at + 50_000])
+        ends = np.cumsum(n, dtype=np.int64).tolist()
+        return [np.frombuffer(b"".join(out[e - k : e]), np.uint16) for e, k in zip(ends, n, strict=True)]
+
+    def keys(self, docs: list[int | None], n: list[int]) -> np.ndarray:
+        """Keys of the n chunks of each document, by its doc_id and their place."""
+        seed = mix64(np.array([self.seed & _M], np.uint64))
+        base = mix64(np.array([(d or 0) & _M for d in docs], np.uint64) * MIX_A + seed)
+        place = np.arange(sum(n)) - np.repeat(np.cumsum(n, dtype=np.int64) - n, n)
+        return mix64(np.repeat(base, n) + place.astype(np.uint64) * MIX_A)
+
+    def _chunks(self, parts: list[str], keys: np.ndarray) -> list[bytes]:
+        if len(self.skips) > self.most:
+            self._forget()
+        try:
+            first = list(map(self.known.__getitem__, parts))
+        except KeyError:
+            for chunk in set(parts).difference(self.known):
+                if len(chunk) < SHORT:
+                    self.known[chunk] = self._state(whole(chunk), ())
+            first = [self.known.get(c, 0) for c in parts]
+        state = np.array(first, np.int64)
+        anew = np.flatnonzero(state == 0).tolist()
+        at = np.flatnonzero(self.length[state]) if self.below else state[:0]
+        for depth in range(DEPTH + 1):
+            if not len(at):
+                break
+            n = self.length[state[at]]
+            offset = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            met = self.met[np.repeat(self.begin[state[at]], n) + offset]
+            hit = np.flatnonzero(((np.repeat(keys[at], n) ^ met) * MIX_C) >> np.uint64(11) < np.uint64(self.below))
+            owner = np.repeat(at, n)[hit]
+            lead = np.flatnonzero(np.diff(owner, prepend=-1))
+            at, offset = owner[lead], offset[hit[lead]]
+            if depth == DEPTH:
+                anew += at.tolist()
+            else:
+                state[at] = self._after((state[at] * 64 + offset).tolist())
+        out = list(map(self.ids.__getitem__, state.tolist()))
+        for k in anew:
+            out[k] = array("H", self.merge(whole(parts[k]), int(keys[k]))).tobytes()
+        return out
+
+    def _after(self, codes: list[int]) -> list[int]:
+        """The states after a skip; a code is 64 times the state, plus the place of the skip among its candidates, which are fewer than SHORT."""
         try:
-            return list(map(known.__getitem__, parts))
+            return list(map(self.after.__getitem__, codes))
         except KeyError:
-            if sum(map(len, self.known)) > self.most:
-                for k in self.known:
-                    k.clear()
-            for chunk in set(parts).difference(known):
-                known[chunk] = array("H", self.merge(whole(chunk), variant)).tobytes()
-            out = list(map(known.__getitem__, parts))
-            for chunk in parts:
-                if len(chunk) > 64:
-                    known.pop(chunk, None)
-            return out
+            for code in set(codes).difference(self.after):
+                (chunk, skips), met = self.skips[code // 64], self.begin[code // 64] + code % 64
+                self.after[code] = self._state(chunk, (*skips, int(self.met[met])))
+            return list(map(self.after.__getitem__, codes))
 
 
 def decode(ids: np.ndarray, raw: list[bytes]) -> str:
@@ -146,12 +214,10 @@ def _encoder(path: str, dropout: float, seed: int, digest: bool):
         encoder = DropoutEncoder(path, dropout, seed)
         raw = encoder.table.raw
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                docs, texts = batch.column(0).slice(at, 1000), batch.column(1).slice(at, 1000)
+            for at in range(0, batch.num_rows, TOGETHER):
+                docs, texts = batch.column(0).slice(at, TOGETHER), batch.column(1).slice(at, TOGETHER).to_pylist()
                 n, crc, good, ids = [], [], [], []
-                for doc_id, text in zip(docs.to_pylist(), texts, strict=True):
-                    text = text.as_py()
-                    own = encoder(doc_id, text)
+                for text, own in zip(texts, encoder.many(docs.to_pylist(), texts), strict=True):
                     if digest:
                         n.append(len(own)), crc.append(zlib.crc32(own.astype("<u4").tobytes())), good.append(decode(own, raw) == (text or ""))
                     else:
@@ -167,7 +233,7 @@ def _encoder(path: str, dropout: float, seed: int, digest: bool):
 def encode_documents(docs: DataFrame, path: str, dropout: float = 0.1, seed: int = 1) -> DataFrame:
     """doc_id, ids array<int> for each row of docs (doc_id long, text string).
 
-    path names a BPE SentencePiece file with byte fallback, there on every executor. Null and empty texts have no id; a null doc_id takes the variants of doc_id 0. Repeated rows are encoded alike; other columns are ignored.
+    path names a BPE SentencePiece file with byte fallback, there on every executor. Null and empty texts have no id; a null doc_id takes the skips of doc_id 0. Repeated rows are encoded alike; other columns are ignored.
     """
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_encoder(path, dropout, seed, False), "doc_id long, ids array<int>")
 
