@@ -211,3 +211,15 @@ def test_rows_only_queries_run(spark, sf_dir):
 
     for name in sorted(set(REGISTRY) - set(ORACLES) - {"dbscan", "stme"}):
         assert REGISTRY[name](spark, sf_dir).count() > 0, name
+
+
+def test_both_ends_of_trips_are_clustered(spark, sf_dir):
+    from wayloom.plans.queries import REGISTRY
+    from wayloom.sources import fixtures
+
+    ends = tr.endpoints(fixtures.trips(spark, sf_dir)).select(F.xxhash64("trip_key", "flag").alias("id"), "flag").collect()
+    flags = {r["id"]: r["flag"] for r in ends}
+    assert len(flags) == len(ends)
+    for name in ("dbscan", "stme"):
+        assert {r["id"] for r in REGISTRY[name](spark, sf_dir).collect()} == set(flags)
+    assert {flags[r["id"]] for r in REGISTRY["point_compression"](spark, sf_dir).collect()} == {0, 1}

@@ -581,8 +581,9 @@ def event_slices(spark, d):
 # ---- checked by their invariants
 
 
-def _small_points(spark, d) -> DataFrame:
-    return tr.endpoints(fx.trips(spark, d)).where("flag = 0").select(F.xxhash64("trip_key").alias("id"), "lon", "lat")
+def _end_points(spark, d) -> DataFrame:
+    """Both ends of each trip."""
+    return tr.endpoints(fx.trips(spark, d)).select(F.xxhash64("trip_key", "flag").alias("id"), "lon", "lat")
 
 
 @query
@@ -597,12 +598,12 @@ def two_axes(spark, d):
 
 @query
 def dbscan(spark, d):
-    return cl.dbscan(_small_points(spark, d), 300.0, 5)
+    return cl.dbscan(_end_points(spark, d), 300.0, 5)
 
 
 @query
 def stme(spark, d):
-    return cl.stme(_small_points(spark, d), 12, 6, 7, 400.0)
+    return cl.stme(_end_points(spark, d), 12, 6, 7, 400.0)
 
 
 @query
@@ -626,7 +627,7 @@ def agglomerative(spark, d):
 
 @query
 def point_compression(spark, d):
-    return cl.compress_to_poi(_small_points(spark, d), fx.poi(spark, d), 700.0)
+    return cl.compress_to_poi(_end_points(spark, d), fx.poi(spark, d), 700.0)
 
 
 @query
