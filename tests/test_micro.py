@@ -223,3 +223,10 @@ def test_both_ends_of_trips_are_clustered(spark, sf_dir):
     for name in ("dbscan", "stme"):
         assert {r["id"] for r in REGISTRY[name](spark, sf_dir).collect()} == set(flags)
     assert {flags[r["id"]] for r in REGISTRY["point_compression"](spark, sf_dir).collect()} == {0, 1}
+
+
+def test_gcc_places_cells_with_single_trips(spark, sf_dir):
+    from wayloom.plans.queries import REGISTRY
+
+    nodes = {c for r in REGISTRY["line_graph_nodes"](spark, sf_dir).collect() for c in (r["src"], r["dst"])}
+    assert {r["i"] for r in REGISTRY["gcc"](spark, sf_dir).collect()} == nodes

@@ -519,15 +519,16 @@ def shared_neighbors(spark, d):
     return graph.shared_neighbours(_knn(spark), 1)
 
 
-def _undirected(spark, d) -> tuple[DataFrame, DataFrame]:
-    e = graph.without_loops(_edges(spark, d)).where("flow > 1")
+def _undirected(spark, d, least: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Edges in both directions and vertices of the flows of at least least trips."""
+    e = graph.without_loops(_edges(spark, d)).where(F.col("flow") >= least)
     both = e.select(F.explode(F.array(F.struct(F.col("src").alias("i"), F.col("dst").alias("j")), F.struct(F.col("dst").alias("i"), F.col("src").alias("j")))).alias("e")).select("e.*").distinct()
     return both, both.select("i").distinct()
 
 
 @query
 def adjacency_normalized(spark, d):
-    return _rounded(graph.normalised(*_undirected(spark, d)), 8, "w")
+    return _rounded(graph.normalised(*_undirected(spark, d, 2)), 8, "w")
 
 
 def _cell_features(nodes: DataFrame) -> DataFrame:
@@ -537,7 +538,7 @@ def _cell_features(nodes: DataFrame) -> DataFrame:
 
 @query
 def feature_propagation(spark, d):
-    both, nodes = _undirected(spark, d)
+    both, nodes = _undirected(spark, d, 2)
     return _rounded(graph.propagate(graph.normalised(both, nodes), _cell_features(nodes), 2), 6, "x")
 
 
