@@ -71,22 +71,60 @@ def test_each_occurrence_draws_its_own_skips(texts):
     assert len({tuple(encoder(k, "of information").tolist()) for k in range(200)}) > 4
 
 
-def test_remembered_skips_equal_merging_anew(texts):
-    for dropout in (0.1, 0.5):
-        encoder = mergedropout.DropoutEncoder(PATH, dropout, 3, most=2000)
+def _by_scanning(encoder, chunk, key):
+    """The agenda by brute force: the best pair of all is looked for anew at each step."""
+    symbols, place, skipped = list(chunk), list(range(len(chunk))), set()
+    draw = encoder._drawn(key)
+    while True:
+        pairs = [(encoder.rank[a + b], i, a + b, place[i]) for i, (a, b) in enumerate(zip(symbols, symbols[1:])) if a + b in encoder.rank]
+        pairs = [p for p in pairs if p[2:] not in skipped]
+        if not pairs:
+            break
+        _, i, pair, at = min(pairs)
+        if draw((encoder.table.normal[pair] * mergedropout._A + at * mergedropout._C) & mergedropout._M):
+            skipped.add((pair, at))
+        else:
+            symbols[i : i + 2], place[i : i + 2] = [pair], [at]
+    out = []
+    for x in symbols:
+        known = encoder.table.normal.get(x)
+        out += [known] if known is not None else [encoder.table.byte_id[b] for b in ("▁" if x == LITERAL else x).encode("utf-8", "surrogatepass")]
+    return out
+
+
+def _by_chunks(encoder, k, t, merged):
+    parts = chunks_of(t.replace("▁", LITERAL)) if t else []
+    return [i for c, key in zip(parts, encoder.keys([k], [len(parts)]), strict=True) for i in merged(whole(c), int(key))]
+
+
+def test_agendas_side_by_side_equal_one_by_one(texts):
+    texts = [*texts, "a▁b ▁", "日本語テスト" * 200, "\ufeff x"]
+    for dropout in (0.1, 0.5, 1.0):
+        encoder = mergedropout.DropoutEncoder(PATH, dropout, 3)
         docs = list(range(len(texts)))
         for k, t, ids in zip(docs, texts, encoder.many(docs, texts), strict=True):
-            parts = chunks_of(t.replace("▁", LITERAL)) if t else []
-            anew = [encoder.merge(whole(c), int(key)) for c, key in zip(parts, encoder.keys([k], [len(parts)]), strict=True)]
-            assert ids.tolist() == [i for x in anew for i in x]
-
-
-def test_both_agendas_agree(texts):
-    encoder = mergedropout.DropoutEncoder(PATH, 0.3, 5)
-    for t in texts:
-        for chunk in t.split(" ")[:50]:
-            if 0 < len(chunk) < 200:
-                assert encoder._merge_short(list("▁" + chunk), 12345) == encoder._merge_long(list("▁" + chunk), 12345)
+            assert ids.tolist() == _by_chunks(encoder, k, t, encoder.merge)
+            if len(t) < 2000:
+                assert ids.tolist() == _by_chunks(encoder, k, t, lambda c, key, e=encoder: _by_scanning(e, c, key))
+
+
+def test_long_texts_in_parts_equal_the_whole(texts, monkeypatch):
+    encoder = mergedropout.DropoutEncoder(PATH, 0.2, 3)
+    long = "   ".join(texts[-20:]) + " " + "no blank here"
+    want = encoder(5, long).tolist()
+    for most in (7, 100, 1000):
+        monkeypatch.setattr(mergedropout, "TOGETHER", most)
+        assert encoder(5, long).tolist() == want
+        got = encoder.many([1, 5, 2], ["a b", long, ""])
+        assert got[1].tolist() == want and got[0].tolist() == encoder(1, "a b").tolist() and not len(got[2])
+
+
+def test_bytes_are_those_of_the_pieces(texts):
+    encoder = mergedropout.DropoutEncoder(PATH, 0.3, 4)
+    decoder = mergedropout.Decoder(encoder.table.raw)
+    for k, t in enumerate(texts):
+        ids = encoder(k, t)
+        assert decoder.bytes_of(ids).decode() == mergedropout.decode(ids, encoder.table.raw) == t
 
 
 def test_frames(odd_docs, no_docs):
