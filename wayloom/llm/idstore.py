@@ -1,44 +1,58 @@
 """Token ids in a content-addressed store.
 
-A store is a folder of Parquet tables. ``kind=chunk`` holds each distinct chunk of ids once, under the BLAKE2b digest of its bytes; a rolling hash over the ids cuts the chunks, so texts that share a passage share most of its chunks. ``recipes`` holds, in ascending doc_id order, each document's place in the id stream, the digests of its chunks and their Merkle root; ``manifest`` holds the totals and a root over the documents of each part. Reading checks every chunk against its digest, every document against its root and every part against the manifest.
+A store is a folder of Parquet tables. The ``chunk`` rows of ``rows`` hold each distinct chunk of ids once, under the BLAKE2b digest of its bytes; a rolling hash over the ids cuts the chunks, so texts that share a passage share most of its chunks. ``recipes`` holds, in ascending doc_id order, each document's place in the id stream, the digests of its chunks and their Merkle root; ``manifest`` holds the totals and the root of a tree over the documents of each part, and those of the whole store over its parts. Reading checks every chunk against its digest, every document against its root, every part and the whole against the manifest.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 import re
+import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wayloom.llm.common import MIX_A, mix64, remove
+from wayloom.llm.common import MIX_A, MIX_B, remove
 
 END_ID = 2
 WINDOW, DIVISOR, LEAST, MOST = 16, 256, 64, 2048
 WIDTH = "<u2"
+#: Shift that leaves the bits of a hash that say one in DIVISOR.
+_TOP = np.uint64(64 - DIVISOR.bit_length() + 1)
 _BREAK = re.compile(r"(?<=\S) ")
-_DOUBLE = re.compile(r"\s ")
-#: Letters (all of long standing in Unicode), then at least one run of marks or one newline; pre-tokens end between them, and before letters after a newline.
-_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
-_SIMPLE = re.compile(f"[{_LETTERS}]+(?:[.,;:!?%&*#$|]+|(?<!\n)\n(?=[{_LETTERS}])|(?<=\n)[{_LETTERS}]+)+")
-_TOKENS = re.compile(f"[{_LETTERS}]+|[.,;:!?%&*#$|]+|\n")
+#: Marks, and letters (all of long standing in Unicode) after which they begin a pre-token of their own.
+MARKS = ".,;:!?%&*#$|"
+LETTER_END = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]$"
+#: Documents or nodes under a node of a part's tree, and its height: enough for 4096^3 documents a part.
+FAN, LEVELS = 4096, 3
+#: The manifest's row of the whole store.
+WHOLE = -1
+_MANIFEST = "part int, docs long, ids long, root string"
+#: Bytes of text that are encoded together.
+TOGETHER = 1 << 24
+#: Pieces whose ids are gathered at once.
+_BLOCK = 1 << 18
 
 
 class Encoder:
-    """ids of whole texts by a byte-level BPE file of the tokenizers library, as little-endian 16-bit bytes.
+    """ids of whole texts by a byte-level BPE file of the tokenizers library, as 16-bit numbers.
 
-    A space after a character that is no white space always begins a pre-token, so a text is encoded by the pieces between such spaces; pieces are remembered, and forgotten when there are many. Texts with a special token's string go through the library whole.
+    A space after a character that is no white space always begins a pre-token, so a text is encoded by the pieces between such spaces. The distinct pieces of many texts go through the library once, many in a row, and the texts' ids are gathered from theirs; nothing is kept from one call to the next. Texts with a special token's string go through the library whole.
     """
 
-    def __init__(self, path: str, most: int = 700_000):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer = Tokenizer.from_file(path)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids need more than 16 bits")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -46,79 +60,148 @@ class Encoder:
         self.token_bytes = np.zeros(max(vocab.values()) + 1, np.int64)
         for token, i in vocab.items():
             self.token_bytes[i] = len(token)  # in a byte-level vocabulary a character stands for a byte
-        self.first: dict[str, bytes] = {}
-        self.later: dict[str, bytes] = {}
-        self.bare: dict[str, bytes] = {}
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, WIDTH).tobytes() for x in found]
-
-    def _learn(self, parts: list[str], together: int = 32) -> None:
-        """Remember the ids of pieces with the space before them.
-
-        Words with marks are put together from their pre-tokens. Others are encoded several in one call: a piece that ends in no white space also ends a pre-token, so the ids of a row of pieces part by their bytes.
+    def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """ids of texts one after another, and how many each has."""
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        n = np.fromiter(map(len, found), np.int64, len(found))
+        return np.frombuffer(array("H", itertools.chain.from_iterable(found)), np.uint16).astype(WIDTH), n
+
+    def _in_rows(self, pieces: pa.Array, together: int = 256) -> tuple[np.ndarray, np.ndarray]:
+        """As _library, of pieces with the space before them that end in no white space: such a piece also ends a pre-token, so the ids of a row of them part by their bytes."""
+        spaced = pc.binary_join_element_wise(*(pa.scalar(x, pa.large_string()) if isinstance(x, str) else x for x in ("", pieces, " ")))
+        ends = np.cumsum(pc.binary_length(spaced).to_numpy().astype(np.int64))
+        at = [0, *ends[together - 1 : -1 : together].tolist(), int(ends[-1]) if len(ends) else 0]
+        data = memoryview(spaced.buffers()[2] or b"")
+        ids, _ = self._library([str(data[x:y], "utf-8") for x, y in zip(at, at[1:], strict=False) if x < y])
+        reached = np.cumsum(self.token_bytes[ids])
+        last = np.searchsorted(reached, ends)
+        if len(ends) and (last[-1] != len(ids) - 1 or (reached[last] != ends).any()):
+            raise ValueError("a token crosses the end of a piece")
+        return ids, np.diff(last, prepend=-1)
+
+    def _spaced(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, size) of distinct pieces with the space before them, and whether each is empty or ends in white space.
+
+        The ids of a word with marks after it are the word's and the marks'.
         """
-        simple = {p: _TOKENS.findall(p) for p in parts if not p.isalpha() and _SIMPLE.fullmatch(p)}
-        self._encode_rows({t[0] for t in simple.values()}.union(p for p in parts if p not in simple).difference(self.later), together)
-        bare = list({x for t in simple.values() for x in t[1:]}.difference(self.bare))
-        self.bare.update(zip(bare, self._ids(bare), strict=True))
-        for p, (head, *rest) in simple.items():
-            self.later[p] = self.later[head] + b"".join(map(self.bare.__getitem__, rest))
-
-    def _encode_rows(self, parts: set[str], together: int) -> None:
-        firm = [p for p in parts if p and not p[-1].isspace()]
-        loose = [p for p in parts if not p or p[-1].isspace()]
-        self.later.update(zip(loose, self._ids([f" {p}" for p in loose]), strict=True))
-        rows = [firm[k : k + together] for k in range(0, len(firm), together)]
-        found = self.tokenizer.encode_batch_fast([" " + " ".join(r) for r in rows], add_special_tokens=False)
-        for row, got in zip(rows, found, strict=True):
-            ids = np.array(got.ids, WIDTH)
-            ends = np.cumsum([(len(p) if p.isascii() else len(p.encode("utf-8", "surrogatepass"))) + 1 for p in row])
-            at = (2 * np.searchsorted(np.cumsum(self.token_bytes[ids]), ends) + 2).tolist()
-            raw, last = ids.tobytes(), 0
-            for p, end in zip(row, at, strict=True):
-                self.later[p] = raw[last:end]
-                last = end
+        length = pc.binary_length(pieces)
+        word = pc.utf8_rtrim(pieces, MARKS)
+        ends_so = pc.and_(pc.less(pc.binary_length(word), length), pc.match_substring_regex(word, LETTER_END))
+        marks = [p[len(p.rstrip(MARKS)) :] for p in pieces.filter(ends_so).to_pylist()]
+        coded = pc.dictionary_encode(pc.if_else(ends_so, word, pieces))
+        base = coded.dictionary
+        size_of = pc.binary_length(base).to_numpy()
+        loose = (pc.binary_length(pc.utf8_rtrim_whitespace(base)).to_numpy() < size_of) | (size_of == 0)
+        kinds = sorted(set(marks))
+        parts = [self._in_rows(base.filter(pa.array(~loose))), self._library([f" {p}" for p in base.filter(pa.array(loose)).to_pylist()]), self._library(kinds)]
+        pool, size = (np.concatenate(x) for x in zip(*parts, strict=True))
+        size, n_base = np.append(size, 0), len(base)
+        begin = np.cumsum(size) - size
+        # each piece is a base and marks; the last of the pool stands for no marks
+        of_base = np.empty(n_base, np.int64)
+        of_base[np.flatnonzero(~loose)], of_base[np.flatnonzero(loose)] = np.arange(n_base - loose.sum()), np.arange(n_base - loose.sum(), n_base)
+        both = np.full((len(pieces), 2), len(size) - 1)
+        both[:, 0] = of_base[coded.indices.to_numpy()]
+        number = {m: n_base + k for k, m in enumerate(kinds)}
+        both[ends_so.to_numpy(zero_copy_only=False), 1] = list(map(number.__getitem__, marks))
+        ids = pool[_runs(begin[both.ravel()], size[both.ravel()])]
+        return ids, size[both].sum(axis=1), loose[coded.indices.to_numpy()]
+
+    def _bare(self, heads: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, size) of distinct pieces that begin a text, and the number of each of heads among them."""
+        coded = pc.dictionary_encode(heads)
+        return *self._library(coded.dictionary.to_pylist()), coded.indices.to_numpy().astype(np.int64)
+
+    def many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """ids of texts one after another, and how many each has; a null text has none."""
+        texts = texts.cast(pa.large_string())
+        whole = np.zeros(len(texts), bool)
+        for token in self.special:
+            whole |= pc.fill_null(pc.match_substring(texts, token), False).to_numpy(zero_copy_only=False)
+        plain = ~whole & (pc.fill_null(pc.binary_length(texts), 0).to_numpy() > 0)
+        split = pc.split_pattern(texts.filter(pa.array(plain)), " ")
+        n = np.zeros(len(texts), np.int64)
+        n[plain] = pc.list_value_length(split).to_numpy()
+        begin = np.cumsum(n) - n
+        coded = pc.dictionary_encode(split.flatten())
+        pool, size, loose = self._spaced(coded.dictionary)
+        place = coded.indices.to_numpy().astype(np.int64)
+        # a text with a space after white space is split anew
+        inner = np.ones(len(place), bool)
+        inner[(begin + n - 1)[n > 0]] = False
+        odd = np.unique(np.repeat(np.arange(len(n)), n)[np.flatnonzero(loose[place] & inner)])
+        pieces = [_BREAK.split(t) for t in texts.take(pa.array(odd)).to_pylist()]
+        again = pc.dictionary_encode(pa.array([p for own in pieces for p in own], pa.large_string()))
+        n[odd] = [len(own) for own in pieces]
+        begin[odd] = len(place) + np.cumsum(n[odd]) - n[odd]
+        more, more_size, _ = self._spaced(again.dictionary)
+        place = np.concatenate([place, len(size) + again.indices.to_numpy()])
+        pool, size = np.concatenate([pool, more]), np.concatenate([size, more_size])
+        # what begins a text has no space before it
+        some = np.flatnonzero(n)
+        flat = pa.chunked_array([split.flatten(), again.dictionary_decode() if len(again) else pa.array([], pa.large_string())]).take(pa.array(begin[some])).combine_chunks()
+        more, more_size, number = self._bare(flat)
+        place[begin[some]] = len(size) + number
+        pool, size = np.concatenate([pool, more]), np.concatenate([size, more_size])
+        more, more_size = self._library(texts.filter(pa.array(whole)).to_pylist())
+        begin[whole], n[whole] = len(place) + np.arange(whole.sum()), 1
+        place = np.concatenate([place, len(size) + np.arange(whole.sum())])
+        pool, size = np.concatenate([pool, more]), np.concatenate([size, more_size])
+        place = place[_runs(begin, n)]
+        first, size = (np.cumsum(size) - size)[place], size[place]
+        ids = np.concatenate([pool[_runs(first[k : k + _BLOCK], size[k : k + _BLOCK])] for k in range(0, len(place), _BLOCK)] or [pool[:0]])
+        reached, ends = np.concatenate([[0], np.cumsum(size)]), np.cumsum(n)
+        return ids, reached[ends] - reached[ends - n]
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        split: list[list[str] | None] = []
-        for text in texts:
-            if not text:
-                split.append([])
-            elif any(s in text for s in self.special):
-                split.append(None)
-            else:
-                split.append(text.split(" ") if not _DOUBLE.search(text) else _BREAK.split(text))
-        if len(self.first) + len(self.later) + len(self.bare) > self.most:
-            self.first, self.later, self.bare = {}, {}, {}
-        new = list({p[0] for p in split if p}.difference(self.first))
-        self.first.update(zip(new, self._ids(new), strict=True))
-        new = list(set().union(*[p[1:] for p in split if p]).difference(self.later))
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            self._learn(part)
-        later = self.later.__getitem__
-        return [self._ids([text])[0] if parts is None else self.first[parts[0]] + b"".join(map(later, parts[1:])) if parts else b"" for text, parts in zip(texts, split, strict=True)]
+        """ids of each text as little-endian 16-bit bytes."""
+        ids, n = self.many(pa.array(texts, pa.large_string()))
+        raw, ends = ids.tobytes(), (2 * np.cumsum(n)).tolist()
+        return [raw[e - 2 * k : e] for e, k in zip(ends, n.tolist(), strict=True)]
+
+
+def _runs(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... of n numbers each, one run after another."""
+    ends = np.cumsum(n)
+    return np.repeat(begin - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def _marks(ids: np.ndarray, block: int = 1 << 16) -> np.ndarray:
+    """Places after which the rolling hash of the last WINDOW ids lets a chunk end, in ascending order."""
+    out = []
+    for k in range(0, max(len(ids) - WINDOW + 1, 0), block):
+        h, step, factor = ids[k : k + block + WINDOW - 1].astype(np.uint64), 1, int(MIX_A)
+        while step < WINDOW:
+            h = h[:-step] * np.uint64(factor) + h[step:]
+            factor, step = factor * factor % 2**64, step * 2
+        out.append(np.flatnonzero((h ^ (h >> np.uint64(32))) * MIX_B >> _TOP == 0) + k + WINDOW)
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+def cuts_of(ids: np.ndarray, ends: np.ndarray) -> list[list[int]]:
+    """For each text of a stream of ids, which end at ends, the ends of its chunks in the stream: where the rolling hash says so within the text, LEAST to MOST ids apart."""
+    marks = _marks(ids)
+    begin = np.concatenate([[0], ends]).astype(np.int64)[: len(ends)]
+    # a window must lie in its own text
+    low, high = np.searchsorted(marks, begin + WINDOW).tolist(), np.searchsorted(marks, ends).tolist()
+    marks, out = marks.tolist(), []
+    for last, n, a, b in zip(begin.tolist(), ends.tolist(), low, high, strict=True):
+        own = []
+        for m in [*marks[a:b], n]:
+            while m - last > MOST:
+                last += MOST
+                own.append(last)
+            if m - last >= LEAST or (m == n and m > last):
+                own.append(m)
+                last = m
+        out.append(own)
+    return out
 
 
 def cuts(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks of ids: where the rolling hash of the last WINDOW ids says so, LEAST to MOST ids apart."""
-    n = len(ids)
-    h, step, factor = ids.astype(np.uint64), 1, int(MIX_A)
-    while step < WINDOW and len(h) > step:
-        h = h[:-step] * np.uint64(factor) + h[step:]
-        factor, step = factor * factor % 2**64, step * 2
-    marks = np.flatnonzero(mix64(h) % np.uint64(DIVISOR) == 0) + step if step == WINDOW else np.zeros(0, np.int64)
-    out, last = [], 0
-    for m in [*marks.tolist(), n]:
-        while m - last > MOST:
-            last += MOST
-            out.append(last)
-        if m - last >= LEAST or (m == n and m > last):
-            out.append(m)
-            last = m
-    return out
+    """Ends of the chunks of one text's ids."""
+    return cuts_of(ids, np.array([len(ids)]))[0]
 
 
 def digest(data: bytes) -> bytes:
@@ -133,17 +216,26 @@ def merkle_root(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
+@lru_cache(1)
+def _encoder(path: str) -> Encoder:
+    """The encoder of a Python worker, which its later tasks use too."""
+    return Encoder(path)
+
+
 def _encode(path: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, seen = Encoder(path), set()
+        encoder, seen = _encoder(path), set()
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                keys, bodies, docs, sizes, chains, roots = [], [], [], [], [], []
-                for doc, data in zip(part.column(0).to_pylist(), encoder(part.column(1).to_pylist()), strict=True):
-                    ids = np.append(np.frombuffer(data, WIDTH), np.array([END_ID], WIDTH))
-                    raw, last, leaves = ids.tobytes(), 0, []
-                    for end in cuts(ids):
+            for part in _slices(batch):
+                ids, n = encoder.many(part.column(1))
+                ids = np.insert(ids, np.cumsum(n), END_ID)
+                n = n + 1
+                ends = np.cumsum(n)
+                raw, last = ids.tobytes(), 0
+                keys, bodies, chains, roots = [], [], [], []
+                for own in cuts_of(ids, ends):
+                    leaves = []
+                    for end in own:
                         body = raw[2 * last : 2 * end]
                         leaves.append(leaf := digest(body))
                         if leaf not in seen:
@@ -152,26 +244,30 @@ def _encode(path: str):
                             seen.add(leaf)
                             keys.append(leaf), bodies.append(body)
                         last = end
-                    docs.append(doc), sizes.append(len(ids)), chains.append(b"".join(leaves)), roots.append(merkle_root(leaves))
-                n, m = len(keys), len(docs)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(["chunk"] * n + ["recipe"] * m), pa.array(keys + roots, pa.binary()), pa.array(bodies + [None] * m, pa.binary()),
-                    pa.array([None] * n + docs, pa.int64()), pa.array([None] * n + sizes, pa.int64()), pa.array([None] * n + chains, pa.binary()),
-                ], names=["kind", "key", "ids", "doc_id", "n_tokens", "leaves"])
+                    chains.append(b"".join(leaves)), roots.append(merkle_root(leaves))
+                for k in range(0, len(keys), 5000):
+                    yield _rows("chunk", keys[k : k + 5000], bodies[k : k + 5000], None, None, None)
+                yield _rows("recipe", roots, None, part.column(0), pa.array(n, pa.int64()), chains)
 
     return encode
 
 
-def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Drop a chunk row that follows one of the same key; rows come sorted by kind and key."""
-    last = None
-    for batch in batches:
-        kinds, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        keep = []
-        for kind, key in zip(kinds, keys, strict=True):
-            keep.append(kind != "chunk" or key != last)
-            last = key if kind == "chunk" else None
-        yield batch.filter(pa.array(keep, pa.bool_()))
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """batch in parts of about TOGETHER bytes of text."""
+    size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy()
+    total, at = np.cumsum(size, dtype=np.int64), 0
+    while at < batch.num_rows:
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + TOGETHER)))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def _rows(kind: str, keys: list[bytes], bodies: list[bytes] | None, docs: pa.Array | None, sizes: pa.Array | None, chains: list[bytes] | None) -> pa.RecordBatch:
+    m = len(keys)
+    columns = [pa.array([kind] * m, pa.string()), pa.array(keys, pa.binary())]
+    for given, kind_of in ((bodies, pa.binary()), (docs, pa.int64()), (sizes, pa.int64()), (chains, pa.binary())):
+        columns.append(pa.nulls(m, kind_of) if given is None else given if isinstance(given, pa.Array) else pa.array(given, kind_of))
+    return pa.RecordBatch.from_arrays(columns, names=["kind", "key", "ids", "doc_id", "n_tokens", "leaves"])
 
 
 def write_store(docs: DataFrame, tokenizer_path: str, path: str) -> None:
@@ -182,13 +278,16 @@ def write_store(docs: DataFrame, tokenizer_path: str, path: str) -> None:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_encode(tokenizer_path), "kind string, key binary, ids binary, doc_id long, n_tokens long, leaves binary")
     dealt = rows.withColumn("deal", F.when(F.col("kind") == "chunk", F.xxhash64("key")).otherwise(F.xxhash64("doc_id", "key", "n_tokens")))
-    dealt = dealt.repartition("deal").sortWithinPartitions("kind", "key").drop("deal")
-    dealt.mapInArrow(_once, dealt.schema).write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/rows")
+    again = F.row_number().over(Window.partitionBy("deal", "key").orderBy("deal"))
+    once = dealt.withColumn("again", again).where("kind = 'recipe' or again = 1").drop("deal", "again")
+    once.write.option("compression", "zstd").parquet(f"{path}/rows")
     stored = spark.read.schema("key binary, ids binary, doc_id long, n_tokens long, leaves binary, kind string").parquet(f"{path}/rows")
     recipes = stored.where("kind = 'recipe'").select("doc_id", F.col("key").alias("root"), "n_tokens", "leaves")
     placed = recipes.orderBy(F.asc_nulls_first("doc_id"), "root").withColumn("part", F.spark_partition_id())
     placed.mapInArrow(_running, "doc_id long, root binary, n_tokens long, leaves binary, part int, place long, within long").write.option("compression", "zstd").parquet(f"{path}/recipes")
-    _part_roots(_recipes(spark, path)).write.parquet(f"{path}/manifest")
+    parts = _parts_of(_part_roots(_recipes(spark, path)))
+    whole = (WHOLE, sum(p[1] for p in parts), sum(p[2] for p in parts), store_root(parts))
+    spark.createDataFrame([whole, *parts], _MANIFEST).coalesce(1).write.parquet(f"{path}/manifest")
 
 
 def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,23 +306,35 @@ def _recipes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _part_roots(recipes: DataFrame) -> DataFrame:
-    """(part, docs, ids, root) of each part: the SHA-256 over its documents' roots in order."""
-    listed = F.sort_array(F.collect_list(F.struct("place", F.hex("root").alias("root"))))
-    return recipes.groupBy("part").agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("ids"), F.sha2(F.array_join(F.transform(listed, lambda x: x["root"]), ""), 256).alias("root"))
+    """(part, docs, ids, root) of each part: a tree of SHA-256 over its documents' roots in order, FAN of them in a node, so that no list grows with the part."""
+    level = recipes.select("part", F.col("place").alias("at"), F.lit(1).cast("long").alias("docs"), F.col("n_tokens").alias("ids"), F.hex("root").alias("root"))
+    for _ in range(LEVELS):
+        listed = F.sort_array(F.collect_list(F.struct("at", "root")))
+        level = level.groupBy("part", F.floor(F.col("at") / FAN).alias("at")).agg(F.sum("docs").alias("docs"), F.sum("ids").alias("ids"), F.sha2(F.array_join(F.transform(listed, lambda x: x["root"]), ""), 256).alias("root"))
+    return level.groupBy("part").agg(F.count("*").alias("tops"), F.sum("docs").alias("docs"), F.sum("ids").alias("ids"), F.first("root").alias("root")).select("part", "docs", "ids", F.when(F.col("tops") == 1, F.col("root")).alias("root"))
+
+
+def store_root(parts: list[tuple[int, int, int, str]]) -> str:
+    """Root of a whole store from its parts (part, docs, ids, root)."""
+    return merkle_root([digest(f"{part} {docs} {ids} {root}".encode()) for part, docs, ids, root in sorted(parts)]).hex()
+
+
+def _parts_of(rows: DataFrame) -> list[tuple[int, int, int, str]]:
+    return sorted((r["part"], r["docs"], r["ids"], r["root"]) for r in rows.collect())
 
 
 def _starts(spark: SparkSession, path: str) -> DataFrame:
     """Recipes with start; the manifest's parts, one row for each part, are what the driver sees."""
     recipes = _recipes(spark, path)
-    names = ["part", "docs", "ids", "root"]
-    stated = {r["part"]: r for r in spark.read.schema("part int, docs long, ids long, root string").parquet(f"{path}/manifest").collect()}
-    found = {r["part"]: r for r in _part_roots(recipes).collect()}
-    if {k: tuple(v[n] for n in names) for k, v in stated.items()} != {k: tuple(v[n] for n in names) for k, v in found.items()}:
+    stated = _parts_of(spark.read.schema(_MANIFEST).parquet(f"{path}/manifest"))
+    root = [p for p in stated if p[0] == WHOLE]
+    stated = [p for p in stated if p[0] != WHOLE]
+    if stated != _parts_of(_part_roots(recipes)) or [r[3] for r in root] != [store_root(stated)]:
         raise ValueError("the recipes aren't those of the manifest")
     before, at = [], 0
-    for k in sorted(stated):
-        before.append((k, at))
-        at += stated[k]["ids"]
+    for part, _, ids, _ in stated:
+        before.append((part, at))
+        at += ids
     offsets = spark.createDataFrame(before, "part int, before long")
     return recipes.join(F.broadcast(offsets), "part").select("doc_id", (F.col("before") + F.col("within")).alias("start"), "n_tokens", "root", "leaves")
 
@@ -272,32 +383,48 @@ def crc_join(left: np.ndarray, right: np.ndarray, right_bytes: np.ndarray) -> np
 
 def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, n, crc) of chunks whose bytes have their digest; crc is over 32-bit ids."""
-    import zlib
-
     for batch in batches:
-        n, crc = [], []
-        for key, ids in zip(batch.column(0), batch.column(1), strict=True):
-            raw = ids.as_py()
-            if digest(raw) != key.as_py():
+        column = batch.column(1).cast(pa.large_binary())
+        ends = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
+        data = memoryview(column.buffers()[2] or b"")[ends[0] : ends[-1]]
+        wide = memoryview(np.frombuffer(data, WIDTH).astype("<u4")).cast("B")
+        crc, spans = [], (ends - ends[0]).tolist()
+        for key, a, b in zip(batch.column(0).to_pylist(), spans, spans[1:], strict=False):
+            if digest(data[a:b]) != key:
                 raise ValueError("a chunk isn't what its digest says")
-            wide = np.frombuffer(raw, WIDTH).astype("<u4")
-            n.append(len(wide)), crc.append(zlib.crc32(wide.tobytes()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], names=["key", "n", "crc"])
+            crc.append(zlib.crc32(wide[2 * a : 2 * b]))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(ends) // 2), pa.array(crc, pa.int64())], names=["key", "n", "crc"])
 
 
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Joins the chunk sums of each document after checking its root and length."""
+def _rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, start, n_tokens, root, leaves), each checked for its leaves to have its root."""
     for batch in batches:
-        rows = batch.column(4).to_pylist()
-        parts = [sorted((p["seq"], p["key"], p["n"], p["crc"]) for p in r) for r in rows]
-        for p, root, total in zip(parts, batch.column(3).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            if any(x[2] is None for x in p) or sum(x[2] for x in p) != total or merkle_root([x[1] for x in p]) != root:
+        for root, leaves in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+            if merkle_root([leaves[k : k + 16] for k in range(0, len(leaves), 16)]) != root:
                 raise ValueError("a document can't be rebuilt from its chunks")
-        length = np.array([len(p) for p in parts])
-        crc = np.zeros(len(parts), np.uint32)
-        for r in range(length.max(initial=0)):
-            at = np.flatnonzero(length > r)
-            crc[at] = crc_join(crc[at], np.array([parts[i][r][3] for i in at], np.uint32), np.array([4 * parts[i][r][2] for i in at]))
+        yield batch
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Joins the chunk sums (seq, n, crc) of each document, neighbours two by two, after checking its length."""
+    for batch in batches:
+        length = pc.list_value_length(batch.column(3)).to_numpy()
+        parts = batch.column(3).flatten()
+        if parts.field(1).null_count:
+            raise ValueError("a document can't be rebuilt from its chunks")
+        seq, n, crc = (parts.field(k).to_numpy() for k in range(3))
+        owner = np.repeat(np.arange(len(length)), length)
+        order = np.lexsort((seq, owner))
+        owner, n, crc = owner[order], n[order], crc[order].astype(np.uint32)
+        if (np.bincount(owner, weights=n, minlength=len(length)).astype(np.int64) != batch.column(2).to_numpy()).any():
+            raise ValueError("a document can't be rebuilt from its chunks")
+        while len(owner) > len(length):
+            first = np.searchsorted(owner, owner)
+            left = (np.arange(len(owner)) - first) % 2 == 0
+            joined = np.flatnonzero(left[:-1] & ~left[1:] & (owner[:-1] == owner[1:]))
+            crc[joined] = crc_join(crc[joined], crc[joined + 1], 4 * n[joined + 1])
+            n[joined] += n[joined + 1]
+            owner, n, crc = owner[left], n[left], crc[left]
         yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(crc.astype(np.int64))], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
@@ -307,8 +434,9 @@ def read_sums(spark: SparkSession, path: str) -> DataFrame:
     A CRC-32 of a concatenation follows from those of its parts, so no chunk travels to its documents. Raises where a chunk, a document or a part isn't what the store states.
     """
     sums = _chunk_rows(spark, path).mapInArrow(_checked, "key binary, n long, crc long")
-    pieces = _explode(_starts(spark, path)).join(sums, "key", "left")
-    whole = pieces.groupBy("doc_id", "start", "n_tokens", "root").agg(F.collect_list(F.struct("seq", "key", "n", "crc")).alias("parts"))
+    starts = _starts(spark, path)
+    pieces = _explode(starts.mapInArrow(_rooted, starts.schema)).join(sums, "key", "left")
+    whole = pieces.groupBy("doc_id", "start", "n_tokens").agg(F.collect_list(F.struct("seq", "n", "crc")).alias("parts"))
     return whole.mapInArrow(_summed, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayloom.llm import idstore, langid, toxicity
-from wayloom.llm.common import shared_dir
+from wayloom.llm.common import shared_dir, written
 from wayloom.llm.linededup import dedup_lines
 from wayloom.llm.mergedropout import round_trip
 from wayloom.llm.minhash import near_duplicates
@@ -68,7 +68,9 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_id_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/wayloom/store-{uuid.uuid4().hex}"
     idstore.write_store(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), path)
-    return idstore.read_sums(spark, path)
+    sums = written(idstore.read_sums(spark, path), "sums")
+    idstore.delete_store(spark, path)
+    return sums
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
