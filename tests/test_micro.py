@@ -230,3 +230,28 @@ def test_gcc_places_cells_with_single_trips(spark, sf_dir):
 
     nodes = {c for r in REGISTRY["line_graph_nodes"](spark, sf_dir).collect() for c in (r["src"], r["dst"])}
     assert {r["i"] for r in REGISTRY["gcc"](spark, sf_dir).collect()} == nodes
+
+
+def test_join_split_equals_a_plain_join_and_splits_hot_keys(spark):
+    from wayloom.plans.lineage import join_split
+
+    many = spark.range(6000).select(F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 3 == 1, F.col("id") % 500).cast("long").alias("k"), F.lit(1).cast("long").alias("k2"), F.col("id").alias("x"))
+    one = many.where("k is not null").groupBy("k", "k2").agg(F.count("*").alias("n"), F.max("x").alias("top")).where("k < 400")
+    want = sorted(map(str, many.join(one.drop("n"), ["k", "k2"], "left").select("k", "k2", "x", "top").collect()))
+    assert sorted(map(str, join_split(many, one, ["k", "k2"], "n", 6000).collect())) == want
+    assert sorted(map(str, join_split(many, one, ["k", "k2"], "n", 6000, "top < 0").collect())) == want
+
+
+def test_a_cluster_needs_a_named_shared_folder():
+    from wayloom.plans import lineage
+
+    class Unnamed:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda name, default=None: default)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://somewhere:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        lineage.shared_dir(Unnamed)

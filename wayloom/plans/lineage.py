@@ -10,10 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Most keys that join_split broadcasts.
+HOT_KEYS = 1000
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset (tests), a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where that is unset and the session is local (tests), a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not (spark.sparkContext.master or "").startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="wayloom-"))
         named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
@@ -46,6 +52,28 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def join_split(many: DataFrame, one: DataFrame, on: list[str], size: str, total: int, most: str = "true") -> DataFrame:
+    """many left-joined with one, whose keys are unique, so that no key makes a task large.
+
+    size names a column of one with the number of rows of many that have the key (or an upper bound), total is their sum. The keys with more than total / HOT_KEYS rows, fewer than HOT_KEYS of them by that, are broadcast, those of them whose payload most (a condition) allows; the rows they reach are dealt by a hash of their own through the shuffle join that serves the others. Key columns are of type long; size is not among the results.
+    """
+    names = [c for c in one.columns if c not in (*on, size)]
+    hot = one.where((F.col(size) > max(total // HOT_KEYS, 1)) & F.expr(most))
+    by_hand = F.broadcast(hot.select(*[F.col(c).alias(f"hot_{c}") for c in (*on, *names)], F.lit(True).alias("hot_there")))
+    met = many.join(by_hand, [F.col(c) == F.col(f"hot_{c}") for c in on], "left")
+    # a reached row takes part in the shuffle under a key of its own
+    own = F.when(F.col("hot_there"), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.col(on[0]))
+    met = met.withColumn("own_key", own)
+    rest = one.select(*[F.col(c).alias(f"cold_{c}") for c in (*on, *names)])
+    both = met.join(rest, [F.col("own_key") == F.col(f"cold_{on[0]}"), *[F.col(c) == F.col(f"cold_{c}") for c in on[1:]]], "left")
+    return both.select(*many.columns, *[F.when(F.col("hot_there"), F.col(f"hot_{c}")).otherwise(F.col(f"cold_{c}")).alias(c) for c in names])
+
+
+def _state(edges: DataFrame) -> tuple:
+    """Number of edges and a sum over them that tells edge sets apart."""
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of edges (a, b): component is the least node reachable.
 
@@ -53,18 +81,19 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """
     spark = edges.sparkSession
     now = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    state = _state(now)
     for _ in range(max_rounds):
+        n_edges = state[0]
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = join_split(both, least, ["u"], "n", 2 * n_edges).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
+        joined = large.join(least, "u")  # after a large star a node has at most one edge for each of its components' least nodes
         small = joined.select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
         after = written(small, "edges")
-        state = [d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() for d in (now, after)]
         remove(spark, now.path)
-        now = after
-        if state[0] == state[1]:
+        now, before, state = after, state, _state(after)
+        if before == state:
             break
     else:
         raise RuntimeError("components did not settle")
