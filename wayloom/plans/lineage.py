@@ -61,12 +61,13 @@ def join_split(many: DataFrame, one: DataFrame, on: list[str], size: str, total:
     hot = one.where((F.col(size) > max(total // HOT_KEYS, 1)) & F.expr(most))
     by_hand = F.broadcast(hot.select(*[F.col(c).alias(f"hot_{c}") for c in (*on, *names)], F.lit(True).alias("hot_there")))
     met = many.join(by_hand, [F.col(c) == F.col(f"hot_{c}") for c in on], "left")
-    # a reached row takes part in the shuffle under a key of its own
-    own = F.when(F.col("hot_there"), F.xxhash64(F.monotonically_increasing_id())).otherwise(F.col(on[0]))
+    # a reached row, or one without a key, takes part in the shuffle under a key of its own; it takes nothing from there
+    alone = F.col("hot_there") | F.col(on[0]).isNull()
+    own = F.when(alone, F.xxhash64(F.monotonically_increasing_id())).otherwise(F.col(on[0]))
     met = met.withColumn("own_key", own)
     rest = one.select(*[F.col(c).alias(f"cold_{c}") for c in (*on, *names)])
     both = met.join(rest, [F.col("own_key") == F.col(f"cold_{on[0]}"), *[F.col(c) == F.col(f"cold_{c}") for c in on[1:]]], "left")
-    return both.select(*many.columns, *[F.when(F.col("hot_there"), F.col(f"hot_{c}")).otherwise(F.col(f"cold_{c}")).alias(c) for c in names])
+    return both.select(*many.columns, *[F.when(F.col("hot_there"), F.col(f"hot_{c}")).when(F.col(on[0]).isNotNull(), F.col(f"cold_{c}")).alias(c) for c in names])
 
 
 def _state(edges: DataFrame) -> tuple:
