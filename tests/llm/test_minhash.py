@@ -1,7 +1,10 @@
 import random
 
+import numpy as np
+
 from wayloom.llm import minhash
 from wayloom.llm.minhash import near_duplicates
+from wayloom.plans import lineage
 
 
 def _sets(text, width):
@@ -77,3 +80,35 @@ def test_odd_rows(odd_docs):
 
 def test_empty(no_docs):
     assert near_duplicates(no_docs).count() == 0
+
+
+def test_rows_that_repeat_an_id_each_keep_their_links(spark):
+    a, b = " ".join(f"a{k}" for k in range(40)), " ".join(f"b{k}" for k in range(40))
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (4, "c d e f g"), (4, "h i j k l"), (5, "h i j k l"), (4, None)]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in got) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (4, 4), (4, 4), (5, 4)]
+
+
+def test_a_third_of_all_rows_in_one_group(spark, monkeypatch):
+    monkeypatch.setattr(lineage, "HOT_KEYS", 7)
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(80)]
+    rows = [(k, " ".join(base)) for k in range(40)]
+    for k in range(40, 90):
+        text = list(base)
+        text[rng.randrange(80)] = f"x{k}"
+        rows.append((k, " ".join(text)))
+    rows += [(k, " ".join(f"y{k}_{j}" for j in range(30))) for k in range(90, 200)]
+    _check(spark, rows, 3, 85)
+
+
+def test_sketch_limit_is_the_exact_tail():
+    rng = np.random.default_rng(8)
+    for threshold, samples, bits, miss in ((0.8, 128, 512, 0.01), (0.85, 64, 128, 0.02)):
+        limit = minhash.least_passing_distance(threshold, samples, bits, miss)
+        far = []
+        for _ in range(20_000):
+            differ = rng.binomial(samples, 1 - threshold)
+            far.append((np.bincount(rng.integers(0, bits, 2 * differ), minlength=bits) & 1).sum())
+        share = [(np.array(far) > k).mean() for k in (limit, limit - 2)]  # the population count is even
+        assert share[0] < miss * 1.4 and share[1] > miss * 0.7

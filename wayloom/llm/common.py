@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 
-from wayloom.plans.lineage import connected_components, remove, shared_dir, written
+from wayloom.plans.lineage import connected_components, join_split, remove, shared_dir, written
 
-__all__ = ["MIX_A", "MIX_B", "MIX_C", "connected_components", "mix64", "remove", "shared_dir", "written"]
+__all__ = ["MIX_A", "MIX_B", "MIX_C", "connected_components", "join_split", "mix64", "remove", "shared_dir", "written"]
 
 #: Odd 64-bit multipliers of the mixing functions below.
 MIX_A = np.uint64(0x9E3779B97F4A7C15)

@@ -5,6 +5,7 @@ Stages: every text becomes its set of distinct word shingles (as 64-bit hashes),
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,11 +14,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayloom.llm.common import MIX_A, connected_components, mix64, written
+from wayloom.llm.common import MIX_A, connected_components, join_split, mix64, remove, written
 
 BANDS, ROWS, SKETCH_BITS = 32, 4, 512
-#: A sample's estimate lies this far under the true similarity with a chance of about 1e-8.
-MARGIN = 0.17
+#: Chance at most that a pair at the threshold lies beyond the sketches' limit: of the sample and the sketch together.
+MISS = 1e-9
+#: Texts of keys that hold many pairs are broadcast up to so many bytes each, at most HOT_KEYS of them.
+HOT_TEXT = 1 << 16
 #: Most rows, on average, of one side of a tile.
 TILE = 256
 
@@ -71,10 +74,21 @@ def odd_sketch(sample: np.ndarray, bits: int) -> np.ndarray:
     return np.packbits(parity, bitorder="little").view(np.int64)
 
 
-def least_passing_distance(threshold: float, samples: int, bits: int) -> int:
-    """The largest XOR population count at which a pair may still reach threshold less MARGIN."""
-    differ = 2 * samples * (1 - (threshold - MARGIN))
-    return int(np.ceil(bits / 2 * (1 - np.exp(-2 * differ / bits))))
+def least_passing_distance(threshold: float, samples: int, bits: int, miss: float = MISS) -> int:
+    """The least limit that the XOR population count of a pair at threshold exceeds with a chance under miss.
+
+    Each of the samples differs with probability 1 - threshold and then toggles two bits of the XOR, each at a place drawn evenly; the sum over both draws is exact.
+    """
+    odd = np.zeros(bits + 1)
+    odd[0] = 1
+    total, k = np.zeros(bits + 1), np.arange(bits + 1)
+    for differ in range(samples + 1):
+        total += math.comb(samples, differ) * (1 - threshold) ** differ * threshold ** (samples - differ) * odd
+        for _ in range(2):
+            up, down = odd * (bits - k) / bits, odd * k / bits
+            odd = np.concatenate([[0], up[:-1]]) + np.concatenate([down[1:], [0]])
+    beyond = np.cumsum(total[::-1])[::-1]  # chance of k or more
+    return int(np.flatnonzero(np.append(beyond[1:], 0) < miss)[0])
 
 
 def _signer(width: int, bands: int, rows: int, bits: int, seed: int):
@@ -99,25 +113,28 @@ def _signer(width: int, bands: int, rows: int, bits: int, seed: int):
                         key = mix64(key * MIX_A + sample[r::rows])
                     keys.append(key.view(np.int64))
                     sketches.append(odd_sketch(sample, bits))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(set_a, pa.int64()), pa.array(set_b, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_a", "set_b", "keys", "sketch"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(n, pa.int64()), pa.array(set_a, pa.int64()), pa.array(set_b, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))], names=["doc_id", "text_id", "n_shingles", "set_a", "set_b", "keys", "sketch"])
 
     return sign
 
 
-def _verifier(width: int, percent: int):
-    """Keeps the pairs whose full sets have 100 * intersection >= percent * union. Rows come sorted by b, whose set is kept."""
+def _verifier(width: int, percent: int, most: int = 1_000_000):
+    """Keeps the pairs whose full sets have 100 * intersection >= percent * union. Sets of b are remembered, as many as have most hashes together."""
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, last, kept = _WordHashes(), None, None
+        words, kept, held = _WordHashes(), {}, 0
         for batch in batches:
             a, b, text_a, text_b = (batch.column(i) for i in range(4))
             good = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                if (key := b[i].as_py()) != last:
-                    last, kept = key, shingle_hashes(text_b[i].as_py(), width, words)
+            for i, key in enumerate(b.to_pylist()):
+                if (other := kept.get(key)) is None:
+                    if held > most:
+                        kept, held = {}, 0
+                    other = kept[key] = shingle_hashes(text_b[i].as_py(), width, words)
+                    held += len(other)
                 own = shingle_hashes(text_a[i].as_py(), width, words)
-                both = len(own) + len(kept) - len(np.unique(np.concatenate([own, kept])))
-                good[i] = 100 * both >= percent * (len(own) + len(kept) - both)
+                both = len(own) + len(other) - len(np.unique(np.concatenate([own, other])))
+                good[i] = 100 * both >= percent * (len(own) + len(other) - both)
             mask = pa.array(good)
             yield pa.RecordBatch.from_arrays([a.filter(mask), b.filter(mask)], names=["a", "b"])
 
@@ -125,9 +142,11 @@ def _verifier(width: int, percent: int):
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that hold on full sets."""
-    with_a = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    """The pairs (a, b) that hold on full sets; pairs is a written table, in which b may be the same in many rows."""
+    with_a = pairs.join(texts.select(F.col("doc").alias("a"), F.col("text").alias("text_a")), "a")
+    often = pairs.groupBy("b").agg(F.count("*").alias("n"))
+    other = often.join(texts.select(F.col("doc").alias("b"), F.col("text").alias("text_b")), "b")
+    both = join_split(with_a, other, ["b"], "n", pairs.count(), f"octet_length(text_b) <= {HOT_TEXT}")
     return both.select("a", "b", "text_a", "text_b").mapInArrow(_verifier(width, percent), "a long, b long")
 
 
@@ -255,56 +274,75 @@ def _tiles(rows: DataFrame, chunk, chunks, reach) -> DataFrame:
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, bits: int = SKETCH_BITS, seed: int = 7) -> DataFrame:
     """One row per row of docs (doc_id long, text string): doc_id, n_shingles, component_id, kept.
 
-    Documents link when 100 * |A and B| >= percent * |A or B| over their sets of width-word shingles. component_id is the least doc_id reachable over links, the own one included; kept is doc_id = component_id.
-    Null and empty texts and texts without a word have n_shingles 0 and link with nothing. Rows with a null doc_id link with nothing either; their component_id is null and kept is true. Repeated rows each return a row; rows with the same doc_id count as one document and hold the same decision if their texts do. Other columns are ignored. An empty table returns no row.
-    The chance that the bands miss a pair at the threshold is under 1e-6 (0.8: (1 - 0.8^4)^32 = 5e-8).
+    Documents link when 100 * |A and B| >= percent * |A or B| over their sets of width-word shingles, held as 64-bit hashes. component_id is the least doc_id reachable over links, the own one included; kept is doc_id = component_id.
+    Null and empty texts and texts without a word have n_shingles 0 and link with nothing. Rows with a null doc_id link with nothing either; their component_id is null and kept is true. Repeated rows each return a row; rows with the same doc_id are one document, so what links with any of their texts shares their component. Other columns are ignored. An empty table returns no row.
+    The chance that the bands miss a pair at the threshold is under 1e-7 (0.8: (1 - 0.8^4)^32 = 5e-8), that the sketches drop it under MISS.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    limit = least_passing_distance(percent / 100, bands * rows, bits)
-    n_words = bits // 64
-    signed = written(texts.mapInArrow(_signer(width, bands, rows, bits, seed), "doc_id long, n_shingles long, set_a long, set_b long, keys array<long>, sketch array<long>"), "signed")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("text_id", F.xxhash64("text"))
+    spark, limit, n_words = docs.sparkSession, least_passing_distance(percent / 100, bands * rows, bits), bits // 64
+    schema = "doc_id long, text_id long, n_shingles long, set_a long, set_b long, keys array<long>, sketch array<long>"
+    signed = written(texts.select("doc_id", "text", "text_id").mapInArrow(_signer(width, bands, rows, bits, seed), schema), "signed")
     some = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = some.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("doc"))
-    own = written(some.join(classes, ["set_a", "set_b"]).where("doc_id = doc").select("doc", "keys", "sketch").dropDuplicates(["doc"]), "classes")
-    sketches = own.select("doc", *[F.col("sketch")[w].alias(f"s_{w}") for w in range(n_words)])
-    member = own.select("doc", F.explode("keys").alias("key"))
-    shared = member.groupBy("key").agg(F.count("*").alias("size"), F.min("doc").alias("leader")).where("size > 1")
-    member = written(member.join(shared, "key"), "members")
-
-    texts_needed = member.select(F.col("doc").alias("doc_id")).distinct()
-    held = written(texts.join(texts_needed, "doc_id").dropDuplicates(["doc_id"]), "texts")
-
-    star = member.where("doc <> leader").select(F.col("doc").alias("a"), F.col("leader").alias("b")).distinct()
-    for side in ("a", "b"):
-        star = star.join(sketches.select(F.col("doc").alias(side), *[F.col(f"s_{w}").alias(f"{side}_{w}") for w in range(n_words)]), side)
+    # a class is what has equal sets; doc is its number from here on, first the least row that has it
+    first = F.min(F.struct("doc_id", "text_id", "keys", "sketch")).alias("first")
+    classes = written(some.groupBy("set_a", "set_b").agg(first, F.count("*").alias("n")).withColumn("doc", F.monotonically_increasing_id()), "classes")
+    sketches = classes.select("doc", *[F.col("first.sketch")[w].alias(f"s_{w}") for w in range(n_words)])
+    member = classes.select("doc", F.explode("first.keys").alias("key"))
+    shared = member.groupBy("key").agg(F.count("*").alias("n"), F.count("*").alias("size"), F.min("doc").alias("leader")).where("n > 1")
+    n_classes, n_rows = classes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    member = written(join_split(member, shared, ["key"], "n", n_classes * bands).where("leader is not null"), "members")
+
+    needed = classes.select(F.col("first.doc_id").alias("doc_id"), F.col("first.text_id").alias("text_id"), "doc").join(member.select("doc").distinct(), "doc")
+    held = written(texts.join(needed, ["doc_id", "text_id"]).dropDuplicates(["doc"]).select("doc", "text"), "texts")
+
+    star = written(member.where("doc <> leader").select(F.col("doc").alias("a"), F.col("leader").alias("b")).distinct(), "star")
+    side = lambda of, extra=(): sketches.select(F.col("doc").alias(of), *[F.col(f"s_{w}").alias(f"{of}_{w}") for w in range(n_words)], *extra)
+    other = star.groupBy("b").agg(F.count("*").alias("n")).join(side("b"), "b")
+    met = join_split(star.join(side("a"), "a"), other, ["b"], "n", star.count())
     far = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in range(n_words)), F.lit(0))
-    links = written(_confirmed(star.where(far <= limit).select("a", "b"), held, width, percent), "links")
+    near_leader = written(met.where(far <= limit).select("a", "b"), "near_leader")
+    links = written(_confirmed(near_leader, held, width, percent).unionByName(_same_documents(some, classes)), "links")
     parts = written(connected_components(links), "parts")
 
     # of keys that hold several components: which of these have near sketches anywhere
-    at = member.where("size > 2").join(parts.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("component", "doc"))
-    apart = at.groupBy("key").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).where("p <> q").select("key")
+    at = written(member.where("size > 2").join(parts.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component"), "at")
+    apart = at.groupBy("key").agg(F.min("comp").alias("p"), F.max("comp").alias("q"), F.count("*").alias("n")).where("p <> q").drop("q")
     chunks = F.ceil(F.col("size") / TILE).cast("int")
-    rest = _tiles(at.join(apart, "key").join(sketches, "doc"), F.pmod(F.xxhash64("doc"), chunks), chunks, chunks)
+    rest = join_split(at, apart, ["key"], "n", at.count()).where("p is not null").join(sketches, "doc")
+    rest = _tiles(rest, F.pmod(F.xxhash64("doc"), chunks), chunks, chunks)
     rest = rest.select("key", "i", "j", "side", "doc", "comp", "leader", *[f"s_{w}" for w in range(n_words)])
     rest = rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     near = written(rest.mapInArrow(_by_tile(_near_sketches(limit)), "a long, b long").distinct(), "near")
+    spent = [member, star, near_leader, at, near, held, links]
     if not near.isEmpty():
         # components that near sketches join are a group; in it, all but the largest component's documents meet all others with their full sets
         group = connected_components(near).select(F.col("node").alias("comp"), F.col("component").alias("group"))
         docs_of = member.select("doc").distinct().join(parts.withColumnRenamed("node", "doc"), "doc", "left").select("doc", F.coalesce("component", "doc").alias("comp"))
         sizes = group.join(docs_of.groupBy("comp").agg(F.count("*").alias("n")), "comp")
         largest = sizes.groupBy("group").agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("n")).select("group", F.col("most.comp").alias("major"), F.ceil(F.col("most.n") / TILE).alias("major_chunks"), F.ceil((F.col("n") - F.col("most.n")) / TILE).alias("minor_chunks"))
-        placed = written(docs_of.join(group, "comp").join(largest, "group"), "placed")
+        of_comp = sizes.join(largest, "group")
+        placed = written(join_split(docs_of, of_comp, ["comp"], "n", n_classes).where("group is not null"), "placed")
         minor, salt = F.col("minor_chunks"), F.xxhash64("doc")
         chunk = F.when(F.col("comp") == F.col("major"), minor + F.pmod(salt, F.col("major_chunks"))).otherwise(F.pmod(salt, minor))
-        rest = _tiles(placed.join(held.withColumnRenamed("doc_id", "doc"), "doc"), chunk, minor + F.col("major_chunks"), minor)
+        rest = _tiles(placed.join(held, "doc"), chunk, minor + F.col("major_chunks"), minor)
         rest = rest.select("group", "i", "j", "side", "doc", "comp", "text").repartition("group", "i", "j").sortWithinPartitions("group", "i", "j")
         more = rest.mapInArrow(_by_tile(_linked_sets(width, percent)), "a long, b long").distinct()
+        spent += [placed, parts]
         parts = written(connected_components(links.unionByName(more)), "parts")
 
-    found = classes.join(parts.withColumnRenamed("node", "doc"), "doc", "left").select("set_a", "set_b", F.coalesce("component", "doc").alias("component"))
-    return signed.join(found, ["set_a", "set_b"], "left").select(
-        "doc_id", "n_shingles",
-        F.when(F.col("n_shingles") > 0, F.coalesce(F.when(F.col("doc_id").isNotNull(), F.col("component")), F.col("doc_id"))).otherwise(F.col("doc_id")).alias("component_id"),
-    ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    own = classes.select("set_a", "set_b", "n", "doc", F.col("first.doc_id").alias("least")).join(parts.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    least = own.groupBy("component").agg(F.count("*").alias("classes"), F.min("least").alias("component_id"))
+    found = written(join_split(own.drop("least", "doc"), least, ["component"], "classes", n_classes).drop("component"), "found")
+    for table in [*spent, parts, classes]:
+        remove(spark, table.path)
+    linked = join_split(signed.select("doc_id", "n_shingles", "set_a", "set_b", (F.col("n_shingles") > 0).alias("some")), found, ["set_a", "set_b"], "n", n_rows)
+    own_id = F.when(F.col("some") & F.col("doc_id").isNotNull(), F.col("component_id"))
+    return linked.select("doc_id", "n_shingles", F.coalesce(own_id, F.col("doc_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _same_documents(some: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of classes that rows with the same doc_id belong to; none, as a rule."""
+    sets = F.struct("set_a", "set_b")
+    again = some.groupBy("doc_id").agg(F.min(sets).alias("p"), F.max(sets).alias("q")).where("p <> q").select("doc_id")
+    rows = some.select("doc_id", "set_a", "set_b").join(again, "doc_id").distinct().join(classes.select("set_a", "set_b", "doc"), ["set_a", "set_b"])
+    return rows.join(rows.groupBy("doc_id").agg(F.min("doc").alias("b")), "doc_id").where("doc <> b").select(F.col("doc").alias("a"), "b")
