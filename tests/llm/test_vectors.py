@@ -1,6 +1,8 @@
 import numpy as np
 
-from wayloom.llm.neardup_vectors import near_duplicate_vectors, tile_links
+from pyspark.sql import functions as F
+
+from wayloom.llm.neardup_vectors import compared_share, near_duplicate_vectors, tile_links
 
 SCHEMA = "vec_id long, embedding array<float>, label int, n_links string"
 
@@ -47,3 +49,26 @@ def test_empty_and_repeated(spark):
     assert near_duplicate_vectors(df).count() == 0
     twice = spark.createDataFrame([(1, [1.0, 2.0], 3, "x"), (1, [1.0, 2.0], 3, "x"), (2, [2.0, 4.0], 3, "x")], SCHEMA)
     assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in near_duplicate_vectors(twice).collect()) == [(1, 2, 1), (1, 2, 1), (2, 2, 1)]
+
+
+def test_lengths_and_repeated_ids(spark):
+    rows = [(k, [1.0, 2.0, 3.0 + k / 100], 0, "x") for k in range(5)] + [(10, [1.0, 2.0], 0, "x"), (11, [1.0, 2.0], 0, "x"), (12, [2.0, 4.1], 0, "x"), (13, [5.0], 0, "x"), (14, [7.0], 0, "x")]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_duplicate_vectors(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {**{k: (4, 0) for k in range(5)}, 10: (2, 10), 11: (2, 10), 12: (2, 10), 13: (1, 13), 14: (1, 13)}
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(1, a, 0, "x"), (1, b, 0, "x"), (2, [2.0, 0.01, 0.0], 0, "x"), (3, [0.01, 3.0, 0.0], 0, "x")]
+    got = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in near_duplicate_vectors(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)]
+
+
+def test_slabs_lose_no_link_and_spare_comparisons(spark):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(400, 3)) * [4, 1, 1] + rng.normal(size=(400, 1))
+    rows = [(k, [float(y) for y in np.float32(x)], 0, "x") for k, x in enumerate(v)]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    got = {r["vec_id"]: r["n_links"] for r in near_duplicate_vectors(frame, 0.995, chunk=8).collect()}
+    u = np.array([r[1] for r in rows])
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    assert got == dict(enumerate(((u @ u.T) >= 0.995).sum(axis=1) - 1))
+    axes = np.linalg.eigh(u.T @ u)[1][:, ::-1].copy()
+    assert compared_share(frame.select("label", F.col("embedding").alias("v")), axes, 0.995) < 0.6
