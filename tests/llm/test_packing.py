@@ -1,7 +1,9 @@
 from collections import defaultdict
 
 import numpy as np
+import public_tokenizers
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from wayloom.llm import packing
 
@@ -47,3 +49,55 @@ def test_many_equal_rows_are_dealt(spark):
     df = spark.range(1000).select(F.lit(1).cast("long").alias("doc_id"), F.lit("x" * 99).alias("text"))
     got = packing.pack_documents(df, group_pieces=100).collect()
     assert len(got) == 1000 and len({r["sequence_id"] >> 32 for r in got}) > 3
+
+
+def _optimum(lengths, sizes):
+    """Least cost over all ways to part the lengths into sequences."""
+    least = [float("inf")]
+
+    def deal(k, held):
+        if k == len(lengths):
+            least[0] = min(least[0], packing.total_cost(held, sizes))
+            return
+        for j in range(len(held)):
+            if held[j] + lengths[k] <= max(sizes):
+                deal(k + 1, [*held[:j], held[j] + lengths[k], *held[j + 1 :]])
+        deal(k + 1, [*held, lengths[k]])
+
+    deal(0, [])
+    return least[0]
+
+
+def _cost(lengths, sizes, opening=None):
+    where, _, size = packing.pack(lengths, sizes, opening)
+    return sum(packing.sequence_cost(s) for s in dict(zip(where.tolist(), size.tolist(), strict=True)).values())
+
+
+def test_near_the_optimum_of_small_groups():
+    rng, sizes, ratio = np.random.default_rng(3), [1024, 2048, 4096], []
+    for _ in range(60):
+        n = rng.integers(1, 4097, rng.integers(1, 8))
+        n = np.where(rng.random(len(n)) < 0.5, n // 4 + 1, n)
+        cost, least = _cost(n, sizes), _optimum(n.tolist(), sizes)
+        assert least <= cost + 1e-9 and cost <= _cost(n, sizes, sizes) + 1e-9
+        ratio.append(cost / least)
+    assert max(ratio) < 1.5 and np.mean(ratio) < 1.06
+
+
+def test_sizes_are_chosen_together():
+    sizes, n = [1000, 4000], np.array([700] * 25)  # five in a long sequence waste less than one in each short one
+    opening, cost = packing.best_openings(n, sizes)
+    assert opening[0] == 4000 and cost < 0.85 * _cost(n, sizes, sizes)
+    assert cost == _cost(n, sizes) == 5 * packing.sequence_cost(4000)
+    assert packing.best_openings(np.array([1000] * 9), sizes)[0] == [1000, 4000]
+    rng = np.random.default_rng(4)
+    n = rng.integers(1, 4001, 300)
+    assert packing.best_openings(n, sizes)[1] <= min(_cost(n, sizes, o) for o in ([1000, 4000], [4000, 4000])) + 1e-9
+
+
+def test_lengths_are_the_librarys(odd_docs, no_docs):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    want = sorted((r["doc_id"] or 0, len(library.encode(r["text"] or "", add_special_tokens=False).ids) + 1) for r in odd_docs.collect())
+    assert sorted((r["doc_id"] or 0, r["length"]) for r in packing.token_lengths(odd_docs, path).collect()) == want
+    assert packing.token_lengths(no_docs, path).count() == 0

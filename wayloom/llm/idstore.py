@@ -115,6 +115,16 @@ class Encoder:
 
     def many(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """ids of texts one after another, and how many each has; a null text has none."""
+        pool, first, size, n = self._gathered(texts)
+        ids = np.concatenate([pool[_runs(first[k : k + _BLOCK], size[k : k + _BLOCK])] for k in range(0, len(size), _BLOCK)] or [pool[:0]])
+        return ids, n
+
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        """How many ids each text has."""
+        return self._gathered(texts)[3]
+
+    def _gathered(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """A pool of ids, where in it the pieces of texts begin and how many ids they have, and how many each text has."""
         texts = texts.cast(pa.large_string())
         whole = np.zeros(len(texts), bool)
         for token in self.special:
@@ -150,9 +160,8 @@ class Encoder:
         pool, size = np.concatenate([pool, more]), np.concatenate([size, more_size])
         place = place[_runs(begin, n)]
         first, size = (np.cumsum(size) - size)[place], size[place]
-        ids = np.concatenate([pool[_runs(first[k : k + _BLOCK], size[k : k + _BLOCK])] for k in range(0, len(place), _BLOCK)] or [pool[:0]])
         reached, ends = np.concatenate([[0], np.cumsum(size)]), np.cumsum(n)
-        return ids, reached[ends] - reached[ends - n]
+        return pool, first, size, reached[ends] - reached[ends - n]
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         """ids of each text as little-endian 16-bit bytes."""
@@ -226,7 +235,7 @@ def _encode(path: str):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, seen = _encoder(path), set()
         for batch in batches:
-            for part in _slices(batch):
+            for part in text_slices(batch):
                 ids, n = encoder.many(part.column(1))
                 ids = np.insert(ids, np.cumsum(n), END_ID)
                 n = n + 1
@@ -252,7 +261,7 @@ def _encode(path: str):
     return encode
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def text_slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """batch in parts of about TOGETHER bytes of text."""
     size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy()
     total, at = np.cumsum(size, dtype=np.int64), 0

@@ -1,17 +1,20 @@
 """Best-fit packing of documents into training sequences of several permitted lengths.
 
-Pieces are dealt by hash into groups of bounded size; within a group they are placed in order of decreasing length, each into the open sequence whose room is least among those that hold it. Where none does, a new sequence is opened with the size whose cost for each token it may come to hold is least. At the end each sequence shrinks to the least permitted size that holds its contents.
+Pieces are dealt by hash into groups of bounded size; within a group they are placed in order of decreasing length, each into the open sequence whose room is least among those that hold it. Where none does, a new sequence is opened; its size depends on the least permitted size that holds the piece, and these choices are optimised together: starting from the least sizes, one choice after another is changed while the whole group, packed so and its sequences shrunk, costs less. At the end each sequence shrinks to the least permitted size that holds its contents.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from bisect import bisect_left
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayloom.llm.idstore import Encoder, text_slices
+
 SIZES = (1024, 2048, 4096, 8192, 16384, 32768)
 #: Pieces of a group on average.
 GROUP_PIECES = 8192
@@ -24,19 +27,13 @@ def sequence_cost(size: int) -> float:
     return size * (1 + size / 65536) + 32
 
 
-def pack(lengths: np.ndarray, sizes: Sequence[int] = SIZES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each length (1 to the largest size): its sequence, its offset there, and the final size of that sequence.
-
-    Ties in length keep the order given, ties in room the sequence opened last; the result depends on the order of lengths only.
-    """
-    sizes = sorted(sizes)
-    costs = [sequence_cost(s) for s in sizes]
-    order = np.argsort(-lengths, kind="stable")
-    where, offset = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
+def _place(order: list[int], lengths: list[int], sizes: Sequence[int], opening: Sequence[int]) -> tuple[list[int], list[int], list[int]]:
+    """Of each length its sequence and offset, and how much each sequence holds. opening names, for each of sizes, the size to open for a piece that it is the least to hold."""
+    where, offset = [0] * len(lengths), [0] * len(lengths)
     room_of: dict[int, list[int]] = {}
-    rooms, used, left = 0, [], int(lengths.sum())
-    for i in order.tolist():
-        n = int(lengths[i])
+    rooms, used = 0, []
+    for i in order:
+        n = lengths[i]
         fits = rooms >> n
         if fits:
             room = n + (fits & -fits).bit_length() - 1
@@ -45,20 +42,59 @@ def pack(lengths: np.ndarray, sizes: Sequence[int] = SIZES) -> tuple[np.ndarray,
             if not stack:
                 rooms ^= 1 << room
         else:
-            room = min((c / min(s, left), s) for c, s in zip(costs, sizes, strict=True) if s >= n)[1]
+            room = opening[bisect_left(sizes, n)]
             k = len(used)
             used.append(0)
         where[i], offset[i] = k, used[k]
         used[k] += n
-        left -= n
         room -= n
         if room:
             stack = room_of.setdefault(room, [])
             if not stack:
                 rooms |= 1 << room
             stack.append(k)
+    return where, offset, used
+
+
+def total_cost(used: Sequence[int], sizes: Sequence[int]) -> float:
+    """Cost of sequences that hold so much, each shrunk to the least of the sorted sizes."""
+    return float(sum(map(sequence_cost, np.array(sizes)[np.searchsorted(sizes, used)].tolist()))) if len(used) else 0.0
+
+
+def best_openings(lengths: np.ndarray, sizes: Sequence[int] = SIZES, rounds: int = 3) -> tuple[list[int], float]:
+    """The opening sizes found for lengths, one for each of the sorted sizes, and what the packing costs with them."""
+    sizes, order, own = sorted(sizes), np.argsort(-lengths, kind="stable").tolist(), lengths.tolist()
+    present = sorted(set(np.searchsorted(sizes, lengths).tolist()))
+    opening = list(sizes)
+    least = total_cost(_place(order, own, sizes, opening)[2], sizes)
+    tried = {tuple(opening)}
+    for _ in range(rounds):
+        before = least
+        for k in present:
+            for size in sizes[k:]:
+                other = [*opening[:k], size, *opening[k + 1 :]]
+                if tuple(other) in tried:
+                    continue
+                tried.add(tuple(other))
+                cost = total_cost(_place(order, own, sizes, other)[2], sizes)
+                if cost < least:
+                    opening, least = other, cost
+        if least == before:
+            break
+    return opening, least
+
+
+def pack(lengths: np.ndarray, sizes: Sequence[int] = SIZES, opening: Sequence[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each length (1 to the largest size): its sequence, its offset there, and the final size of that sequence; opening is that of best_openings.
+
+    Ties in length keep the order given, ties in room the sequence that was last put to; the result depends on the order of lengths only.
+    """
+    sizes = sorted(sizes)
+    opening = best_openings(lengths, sizes)[0] if opening is None else opening
+    where, offset, used = _place(np.argsort(-lengths, kind="stable").tolist(), lengths.tolist(), sizes, opening)
+    where = np.array(where, np.int64)
     final = np.array(sizes)[np.searchsorted(sizes, used)] if used else np.zeros(0, np.int64)
-    return where, offset, final[where]
+    return where, np.array(offset, np.int64), final[where]
 
 
 def _packer(sizes: Sequence[int]):
@@ -88,10 +124,25 @@ def byte_length(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
 
 
+def token_lengths(docs: DataFrame, tokenizer_path: str) -> DataFrame:
+    """doc_id, length long of each row: the ids of its text by a byte-level BPE file of the tokenizers library, there on every executor, and one for the end; a null text has the end only."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_lengths(tokenizer_path), "doc_id long, length long")
+
+
+def _lengths(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(path)
+        for batch in batches:
+            for part in text_slices(batch):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(encoder.counts(part.column(1)) + 1, pa.int64())], names=["doc_id", "length"])
+
+    return run
+
+
 def pack_documents(docs: DataFrame, length: Column | None = None, sizes: Sequence[int] = SIZES, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """One row for each piece: doc_id, piece, piece_start, n_tokens, sequence_id, sequence_start, sequence_size.
 
-    length (a long column of docs, default byte_length(text)) is cut into pieces of the largest size and a rest; null or lengths under 1 count as 1. Each row of docs is placed, repeated rows each on their own, rows with a null doc_id too. Other columns are ignored; an empty table returns no row.
+    length (a long column of docs, such as that of token_lengths; by default byte_length(text)) is cut into pieces of the largest size and a rest; null or lengths under 1 count as 1. Each row of docs is placed, repeated rows each on their own, rows with a null doc_id too. Other columns are ignored; an empty table returns no row.
     The number of groups follows the number of rows, so a task's memory doesn't; equal rows are counted first and dealt over groups, so that no key makes a group large.
     """
     length = byte_length(F.col("text")) if length is None else length

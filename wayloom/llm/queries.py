@@ -16,7 +16,7 @@ from wayloom.llm.mergedropout import round_trip
 from wayloom.llm.minhash import near_duplicates
 from wayloom.llm.neardup_vectors import near_duplicate_vectors
 from wayloom.llm.orderminhash import fingerprints
-from wayloom.llm.packing import pack_documents
+from wayloom.llm.packing import pack_documents, token_lengths
 from wayloom.llm.tokencount import count_tokens
 
 
@@ -56,7 +56,8 @@ def op7_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack_documents(_table(spark, sf_dir, "documents"))
+    lengths = token_lengths(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pack_documents(lengths, F.col("length"))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
