@@ -14,11 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayloom.llm.common import MIX_A, mix64, written
+from wayloom.llm.common import MIX_A, fresh, join_split, mix64, written
 
 WINDOW, DIVISOR, LONG_LINE = 2, 2, 12
 #: Words that a run of repeated chunks needs to be removed.
 RUN_WORDS = 30
+#: Chunks that stand in many texts are broadcast up to so many bytes each, at most HOT_KEYS of them.
+HOT_CHUNK = 1 << 16
 #: Most lines of a chunk.
 MOST_LINES = 64
 
@@ -133,13 +135,15 @@ def dedup_lines(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     some = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null and text <> ''")
     chunks = some.mapInArrow(_chunks, "doc_id long, place int, h1 long, h2 long, times int, chunk binary")
     at = F.struct("doc_id", "place")
-    found = written(chunks.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.sum("times").alias("n"), F.min_by("chunk", at).alias("chunk")).where("n > 1").select("h1", "h2", F.col("first.doc_id").alias("doc"), "first.place", "chunk"), "repeated")
-    where = some.mapInArrow(_places, "doc_id long, h1 long, h2 long")
-    known = where.join(found, ["h1", "h2"]).groupBy("doc_id").agg(F.collect_list(F.struct("doc", "place", "chunk")).alias("first"))
-    known = known.select(F.col("doc_id").alias("known_of"), F.col("first").alias("known_first"))
+    repeated = chunks.groupBy("h1", "h2").agg(F.min(at).alias("first"), F.sum("times").alias("n"), F.min_by("chunk", at).alias("chunk")).where("n > 1")
+    found = written(repeated.select("h1", "h2", F.col("first.doc_id").alias("doc"), "first.place", "chunk", "n"), "repeated")
+    total = found.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    where = join_split(some.mapInArrow(_places, "doc_id long, h1 long, h2 long"), found, ["h1", "h2"], "n", total, f"octet_length(chunk) <= {HOT_CHUNK}").where("doc is not null")
     names = docs.columns
+    of, first = fresh(names, "known_of"), fresh(names, "known_first")
+    known = where.groupBy(F.col("doc_id").alias(of)).agg(F.collect_list(F.struct("doc", "place", "chunk")).alias(first))
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema] + [T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())])
-    joined = docs.join(known, F.col("doc_id") == F.col("known_of"), "left").select(*names, "known_first")
+    joined = docs.join(known, F.col("doc_id") == F.col(of), "left").select(*names, first)
     return joined.mapInArrow(_rewrite(names, run_words), schema)
 
 
