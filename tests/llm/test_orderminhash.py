@@ -49,3 +49,45 @@ def test_last_meets_first_over_many_tasks(spark):
         text, after = rows[i][1], rows[(i - 1) % 40][1]
         third = len(text) // 3
         assert got[i]["edited_sha256"] == hashlib.sha256((text[: len(text) - third] + after[:third]).encode()).hexdigest()
+
+
+def _brute(text, k=omh.K, slots=omh.SLOTS):
+    """Order MinHash word by word: k-mers with their number, the two least of each slot in text order."""
+    m, codes = (1 << 64) - 1, [ord(c) for c in text]
+    def mix(x):
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = ((x ^ (x >> shift)) * factor) & m
+        return x ^ (x >> 31)
+    a, low = 0x9E3779B97F4A7C15, (1 << omh.PLACE_BITS) - 1
+    kept, seen = [[] for _ in range(slots)], {}
+    for i in range(len(codes) - k + 1):
+        h = 0
+        for c in codes[i : i + k]:
+            h = (h * a + c) & m
+        own = mix(h) & ~low
+        number = seen[own] = seen.get(own, -1) + 1
+        own = mix((own + number) & m) & ~low if number else own
+        kept[own >> 58].append((own | i, i, own >> omh.PLACE_BITS))
+    out = []
+    for slot in kept:
+        two = sorted(sorted(slot)[:2], key=lambda x: x[1])
+        if not two:
+            out.append(0)
+            continue
+        sig = len(two)
+        for x in (two * 2)[:2] if len(two) == 1 else two:
+            sig = mix((sig * a + x[2]) & m)
+        out.append(sig >> 32 | 1)
+    return out
+
+
+def test_is_order_minhash():
+    rng = np.random.default_rng(7)
+    for letters, n in (("ab", 40), ("abcdefgh é", 500), ("abc", 3000), ("a", 300), ("xyz", 8), ("xyz", 9)):
+        text = "".join(rng.choice(list(letters), n))
+        assert omh.fingerprint(omh.code_points(text)).tolist() == _brute(text)
+
+
+def test_no_text_passes_through_one_task(odd_docs):
+    plan = omh.fingerprints(odd_docs)._jdf.queryExecution().toString()
+    assert "SinglePartition" not in plan and "Window" not in plan

@@ -11,15 +11,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wayloom.llm.common import MIX_A, mix64, written
 
 K, SLOTS, TUPLE = 8, 64, 2
-#: Low bits of a packed k-mer that hold its place; the other bits hold its hash.
+#: Low bits of a packed k-mer that hold its place; the other bits hold its hash. Texts of 2^28 code points and more take 32 bits.
 PLACE_BITS = 28
-_PLACE = np.uint64((1 << PLACE_BITS) - 1)
 _EDGES = np.arange(SLOTS, dtype=np.uint64) << np.uint64(64 - SLOTS.bit_length() + 1)
 
 
@@ -39,21 +38,22 @@ def fingerprint(codes: np.ndarray) -> np.ndarray:
         while step < K:
             h = h[:-step] * np.uint64(factor) + h[step:]
             factor, step = factor * factor % 2**64, step * 2
-    place = np.arange(len(h), dtype=np.uint64)
-    packed = np.sort((mix64(h) & ~_PLACE) | place)
-    own = packed & ~_PLACE
+    place_bits = PLACE_BITS if len(h) <= 1 << PLACE_BITS else 32
+    low = np.uint64((1 << place_bits) - 1)
+    packed = np.sort((mix64(h) & ~low) | np.arange(len(h), dtype=np.uint64))
+    own = packed & ~low
     again = own[1:] == own[:-1]
     if again.any():
         at = np.arange(len(own))
         begin = np.where(np.concatenate([[True], ~again]), at, 0)
         number = (at - np.maximum.accumulate(begin)).astype(np.uint64)
-        packed = np.sort(np.where(number > 0, mix64(own + number) & ~_PLACE, own) | (packed & _PLACE))
+        packed = np.sort(np.where(number > 0, mix64(own + number) & ~low, own) | (packed & low))
     first = np.searchsorted(packed, _EDGES)
     size = np.diff(first, append=len(packed))
     filled = np.flatnonzero(size)
     chosen = first[filled][:, None] + np.minimum(np.arange(TUPLE), size[filled][:, None] - 1)
     least = packed[chosen]
-    least = np.take_along_axis(least, np.argsort(least & _PLACE, axis=1, kind="stable"), axis=1) >> np.uint64(PLACE_BITS)
+    least = np.take_along_axis(least, np.argsort(least & low, axis=1, kind="stable"), axis=1) >> np.uint64(place_bits)
     sig = np.minimum(size[filled], TUPLE).astype(np.uint64)
     for t in range(TUPLE):
         sig = mix64(sig * MIX_A + least[:, t])
@@ -131,8 +131,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     found = written(dealt.mapInArrow(_chain, f"{_SCHEMA}, part int, head string, last string"), "fingerprints")
     edges = found.where("part is not null").select("doc_id", "part", "head", "last")
-    by_part = Window.orderBy("part")
-    whole = by_part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    after = edges.select("doc_id", "last", F.coalesce(F.lead("head").over(by_part), F.first("head").over(whole)).alias("after"))
+    # the driver sees the numbers of the ranges that hold a row, one for each task
+    parts = sorted(r["part"] for r in edges.select("part").collect())
+    following = docs.sparkSession.createDataFrame(list(zip(parts, [*parts[1:], *parts[:1]], strict=True)), "part int, next int")
+    heads = edges.select(F.col("part").alias("next"), F.col("head").alias("after"))
+    after = edges.drop("head").join(F.broadcast(following), "part").join(heads, "next").select("doc_id", "last", "after")
     names = [n for n, _ in _COLUMNS]
     return found.where("part is null").select(*names).unionByName(after.mapInArrow(_joined, _SCHEMA))
