@@ -32,6 +32,10 @@ def test_very_long_text_is_counted_in_blocks():
     counter = tokencount.ViterbiCounter(PATH)
     one = counter(" ".join(["alpha beta"] * 10))[0]
     assert counter(" ".join(["alpha beta"] * 300_000))[0] == one * 30_000
+    for t in ("a  b c   d e f  " * 9, "   x y", "x y   ", "ab " * 20):
+        for size in (1, 3, 10):
+            assert sum(counter.best("".join(f"▁{c}" if c[:1] != "▁" else c for c in chunks_of(p)))[0] for p in tokencount._word_blocks(t, size) if p) == counter(t)[0]
+            assert " ".join(tokencount._word_blocks(t, size)) == t
 
 
 def test_without_dropout_ids_are_the_librarys(texts):

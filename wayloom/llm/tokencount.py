@@ -12,7 +12,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wayloom.llm.langid import blocks
 from wayloom.llm.pieces import SPACE, PieceTable, chunks_of, whole
 
 #: Scores are multiples of 1/UNIT.
@@ -97,13 +96,18 @@ class ViterbiCounter:
         return total & ((1 << _COUNT_BITS) - 1), total >> _COUNT_BITS
 
 
-def _word_blocks(text: str) -> Iterator[str]:
-    """text in blocks that begin where a chunk does; each but the first comes without the space it begins with."""
-    if len(text) <= 1 << 20 or "  " in text:
-        yield text
-        return
-    for k, piece in enumerate(blocks(text)):
-        yield piece[1:] if k else piece
+def _word_blocks(text: str, size: int = 1 << 20) -> Iterator[str]:
+    """text in blocks of about size that begin where a chunk does; each but the first comes without the space it begins with."""
+    at = 0
+    while len(text) - at > size:
+        cut = at + size
+        while (cut := text.find(" ", cut)) >= 0 and (text[cut - 1] == " " or text[cut : cut + 2] == "  "):
+            cut += 1
+        if cut < 0 or cut + 1 == len(text):
+            break
+        yield text[at:cut]
+        at = cut + 1
+    yield text[at:]
 
 
 def _counter(path: str):
@@ -119,6 +123,6 @@ def _counter(path: str):
 def count_tokens(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens long, score double (of the best path) for each row of docs (doc_id long, text string).
 
-    path names a SentencePiece file, there on every executor; its pieces are the vocabulary, their Zipf probabilities by place in the file the scores. Null and empty texts have no token and score 0. Repeated rows are counted alike; other columns are ignored.
+    path names a SentencePiece file, there on every executor; its pieces are the vocabulary, their Zipf probabilities by place in the file the scores. Null and empty texts have no token and score 0. Long texts are counted in blocks cut at single spaces. Repeated rows are counted alike; other columns are ignored.
     """
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_counter(path), "doc_id long, n_tokens long, score double")
