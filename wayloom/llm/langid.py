@@ -19,6 +19,10 @@ from wayloom.llm.common import mix64
 ORDER = 5
 #: Training rows used at most; beyond it a sample chosen by the hash of doc_id.
 MAX_TRAINING_ROWS = 12_000
+#: Characters of the sample on average, so that the driver's arrays stay bounded where texts are long.
+MAX_TRAINING_CHARS = 60_000_000
+#: Rows that a language needs for a rejection bound of its own; others take that of all rows.
+OWN_BOUND = 20
 UNKNOWN = "und"
 START, END = 1, 2
 
@@ -75,7 +79,7 @@ class LanguageModel:
     contexts: list[np.ndarray]
     backoff: list[np.ndarray]
     floor: float
-    bound: np.ndarray | None = None  # (mean, slack) for each language
+    bound: np.ndarray | None = None  # (median, slack) for each language
     sharpness: float = 50.0
 
     def log_probability(self, symbols: np.ndarray) -> np.ndarray:
@@ -217,15 +221,20 @@ def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(names[code[first]].tolist(), pa.string()), *[pa.array(symbols[first, k].astype(np.int32)) for k in range(ORDER)], pa.array(total)], names=["lang", *[f"s{k}" for k in range(ORDER)], "n"])
 
 
-def train(docs: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> LanguageModel:
+def sampled(key, seed: int, share: float):
+    """A condition that holds for share of the keys, by their hash; exact to 2^-62, so no share is rounded to nothing."""
+    return F.xxhash64(key, F.lit(seed)).bitwiseAND(F.lit((1 << 62) - 1)) < F.lit(min(int(share * (1 << 62)) + 1, (1 << 62) - 1) if share < 1 else 1 << 62)
+
+
+def train(docs: DataFrame, max_rows: int = MAX_TRAINING_ROWS, max_chars: int = MAX_TRAINING_CHARS) -> LanguageModel:
     """Fit on text and lang of the rows of docs with a non-null doc_id, text and lang that are not held out.
 
-    At most about max_rows rows, by the hash of doc_id; a tenth of them calibrates. The counts are summed in Spark; the driver gets the distinct ORDER-grams of that bounded sample. No training row: a model without languages, which predicts ``und``.
+    About max_rows rows and max_chars characters at most, by the hash of doc_id; a tenth of the rows calibrates. The counts are summed in Spark; the driver gets the distinct ORDER-grams of that bounded sample. No training row: a model without languages, which predicts ``und``.
     """
     rows = docs.where(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    n = rows.select("doc_id").count()
-    share = min(1.0, max_rows / max(n, 1))
-    sample = rows.where(F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1_000_000)) < int(share * 1_000_000)).select("doc_id", "text", "lang")
+    size = rows.agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars")).first()
+    share = min(1.0, max_rows / max(size["n"], 1), max_chars / max(size["chars"] or 0, 1))
+    sample = rows.where(sampled("doc_id", 1, share)).select("doc_id", "text", "lang")
     fitting = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(10)) > 0
     words = sample.where(fitting).select("text", "lang").mapInArrow(_word_counts, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     columns = ["lang", *[f"s{k}" for k in range(ORDER)]]
@@ -255,7 +264,10 @@ def train(docs: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> LanguageModel:
 
 
 def _calibrate(model: LanguageModel, who: np.ndarray, sums: np.ndarray) -> None:
-    """Rejection: the least cross-entropy may exceed the language's mean by the greatest excess seen, doubled, more for short texts. Sharpness: greatest likelihood."""
+    """Rejection: the least cross-entropy may exceed the language's median by the greatest excess seen, doubled, more for short texts. Sharpness: greatest likelihood.
+
+    Of m rows like those seen, less than one in m + 1 is expected beyond the greatest excess; doubling leaves room for rows unlike them. A language with fewer than OWN_BOUND rows here takes the median and excess of all rows together. Without any row nothing is rejected by a bound.
+    """
     seen = (sums[:, -1] > 0) & (who >= 0)
     who, sums = who[seen], sums[seen]
     if not len(who):
@@ -263,11 +275,11 @@ def _calibrate(model: LanguageModel, who: np.ndarray, sums: np.ndarray) -> None:
     n = sums[:, -1:]
     cross = -sums[:, :-1] / n
     own = cross[np.arange(len(who)), who]
-    model.bound = np.full((len(model.langs), 2), np.inf)
+    model.bound = np.empty((len(model.langs), 2))
     for k in range(len(model.langs)):
-        if (mine := who == k).sum() >= 20:
-            mean = np.median(own[mine])
-            model.bound[k] = mean, 2 * np.max((own[mine] - mean) * np.sqrt(np.minimum(n[mine, 0], 400)))
+        mine = who == k if (who == k).sum() >= OWN_BOUND else np.ones(len(who), bool)
+        middle = np.median(own[mine])
+        model.bound[k] = middle, 2 * np.max((own[mine] - middle) * np.sqrt(np.minimum(n[mine, 0], 400)))
     best = (np.inf, model.sharpness)
     for sharp in (2.0, 5.0, 10.0, 20.0, 50.0, 100.0):
         z = -cross * sharp
@@ -299,7 +311,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
                     k = int(cross.argmin())
                     e = np.exp(-(cross - cross[k]) * model.sharpness)
                     lang[i], score[i], ce[i] = model.langs[k], float(1 / e.sum()), float(cross[k])
-                    out[i] = bool(model.bound is not None and np.isfinite(model.bound[k, 0]) and cross[k] - model.bound[k, 0] > model.bound[k, 1] / np.sqrt(min(sums[i, -1], 400)))
+                    out[i] = bool(model.bound is not None and cross[k] - model.bound[k, 0] > model.bound[k, 1] / np.sqrt(min(sums[i, -1], 400)))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(ce, pa.float64()), pa.array(out, pa.bool_())], names=[*names, "lang_pred", "score", "cross_entropy", "rejected"])
 
     from pyspark.sql import types as T

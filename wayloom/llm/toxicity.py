@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wayloom.llm.langid import blocks, held_out
+from wayloom.llm.langid import blocks, held_out, sampled
 
 #: Labelled training rows used at most; beyond it a sample chosen by the hash of doc_id.
 MAX_TRAINING_ROWS = 40_000
@@ -179,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS)
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = known.count()
     share = min(1.0, max_rows / max(n, 1))
-    known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(1_000_000)) < int(share * 1_000_000))
+    known = known.where(sampled("doc_id", 3, share))
     rows = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "toxic")
     counts = rows.mapInArrow(_counts, "feature long, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     size = known.groupBy().agg(F.sum(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("p"), F.count("*").alias("n")).first()
