@@ -44,3 +44,25 @@ def test_odd_rows(spark, odd_docs, no_docs):
     none = toxicity.train(odd_docs, labels.limit(0))
     assert toxicity.score(odd_docs, none).where("score is null").count() == 0
     assert toxicity.score(no_docs, model).count() == 0
+
+
+def test_label_model_discounts_a_voter_that_the_others_contradict():
+    """A voter whose words stand in toxic and clean rows alike, though the first labels speak for it."""
+    y = (RNG.random(6000) < 0.2).astype(int)
+    votes = np.stack([(RNG.random(6000) < np.where(y, 0.4, 0.002)) for _ in range(6)] + [RNG.random(6000) < 0.05], axis=1).astype(np.int8)
+    known = np.where((RNG.random(6000) < 0.1) & (votes[:, 6] == 0) | (votes[:, 6] * y == 1), y, -1)
+    post, right, _ = toxicity.label_model(votes, known)
+    assert right[:6].min() > 0.95 and right[6] < 0.6
+    assert ((post > 0.5) == y).mean() > 0.95
+
+
+def test_features_of_the_same_rows_share_a_lexicon():
+    rows = [np.array(x) for x in ([0, 1, 5], [0, 1], [0, 1, 2], [2, 3], [2], [3, 5], [3], [])] * 5
+    lexicon = toxicity.dealt(rows, np.array([0, 1, 2, 3]), 3)
+    assert lexicon[0] == lexicon[1] and len({lexicon[0], lexicon[2], lexicon[3]}) == 3
+
+
+def test_labels_of_other_documents_are_a_prior_only(spark, odd_docs):
+    labels = spark.createDataFrame([(k, 0, int(k % 3 == 0)) for k in range(900, 990)], "doc_id long, quality int, toxic int")
+    scores = {r["score"] for r in toxicity.score(odd_docs, toxicity.train(odd_docs, labels)).collect()}
+    assert len(scores) == 1 and 0 <= scores.pop() <= 1

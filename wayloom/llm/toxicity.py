@@ -1,6 +1,6 @@
 """Toxicity by weak supervision: voters, a generative label model, and a linear classifier of its posterior labels.
 
-Features of a text are its distinct words (lower-cased runs of letters, common letter substitutes undone) and the beginnings of longer words. The training rows yield the features that go with toxic rows; dealt over several lexicon voters, joined by pattern voters, they vote toxic, clean or abstain. A generative model of the votes estimates each voter's accuracy and the correlations between voters by expectation-maximisation, tied to the labels where these are known; voters that move together share their weight. Its posterior labels train a logistic classifier over the hashed features, which alone scores texts.
+Features of a text are its distinct words (lower-cased runs of letters, common letter substitutes undone) and the beginnings of longer words. The labelled training rows yield the features that go with toxic rows; those that stand in the same texts, as a word and its beginnings do, stay together, and are dealt over several lexicon voters. Joined by pattern voters they vote toxic, clean or abstain on labelled and unlabelled rows alike. A generative model of the votes estimates each voter's accuracy and the correlations between voters by expectation-maximisation; the labels only say where it starts. Voters that move together share their weight. Its posterior labels train a logistic classifier over the hashed features, which alone scores texts.
 """
 
 from __future__ import annotations
@@ -16,14 +16,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from wayloom.llm.common import remove, written
 from wayloom.llm.langid import blocks, held_out, sampled
 
 #: Labelled training rows used at most; beyond it a sample chosen by the hash of doc_id.
 MAX_TRAINING_ROWS = 40_000
+#: Further training rows whose labels, if any, are not looked at, chosen likewise.
+MAX_UNLABELLED_ROWS = 20_000
 HASH_BITS = 20
 #: Features kept for the voters and the classifier.
 FEATURES = 4096
-LEXICONS = 8
+LEXICONS = 32
+#: Features at most in the lexicons, and the share of common texts above which two of them stay together.
+LEXICON_FEATURES, TOGETHER = 512, 0.7
 PREFIXES = (4, 5, 6, 7, 8)
 # fixed values: letters that stand in for others
 SUBSTITUTES = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"})
@@ -33,7 +38,7 @@ PATTERNS = (
     re.compile(r"\b(?:hate|kill|hurt|destroy)\s+(?:you|him|her|them|yourself)\b"),
     re.compile(r"\b(?:idiot|moron|loser|scum|trash|clown|stupid|worthless|pathetic|disgusting)(?:s|ic|ity)?\b"),
 )
-VOTERS = LEXICONS + len(PATTERNS) + 1
+VOTERS = LEXICONS + len(PATTERNS)
 
 
 def words_of(chunk: str) -> list[str]:
@@ -122,10 +127,10 @@ def _examples(wanted: np.ndarray):
     return examples
 
 
-def label_model(votes: np.ndarray, toxic: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def label_model(votes: np.ndarray, toxic: np.ndarray, rounds: int = 50, gold: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior P(toxic) for each row, accuracy P(vote right | voted) and correlations of the voters.
 
-    votes: 1 toxic, -1 clean, 0 abstain; toxic: 1, 0, or -1 where it isn't known. Each voter has a vote distribution for each class. Correlations are those of the votes' residuals given the class; a voter's log-likelihood counts 1 / (sum of squared correlations with all voters), so a block of copies counts once. Known labels count as one more voter, right in 95 of 100 cases.
+    votes: 1 toxic, -1 clean, 0 abstain; toxic: 1, 0, or -1 where it isn't known. Each voter has a vote distribution for each class. Correlations are those of the votes' residuals given the class; a voter's log-likelihood counts 1 / (sum of squared correlations with all voters), so a block of copies counts once. Known labels only set the first posterior, unless gold is true: then they count as one more voter, right in 95 of 100 cases.
     """
     n, m = votes.shape
     shape = (votes + 1).astype(np.int64)  # 0 clean, 1 abstain, 2 toxic
@@ -142,7 +147,8 @@ def label_model(votes: np.ndarray, toxic: np.ndarray, rounds: int = 50) -> tuple
         corr = cov / np.outer(d, d)
         share = 1 / np.square(corr).sum(axis=1)
         ll = np.log(prior / (1 - prior)) + sum(share[j] * np.log(table[1, j] / table[0, j])[shape[:, j]] for j in range(m))
-        ll += np.where(toxic < 0, 0, np.where(toxic > 0, 1, -1) * np.log(19))
+        if gold:
+            ll += np.where(toxic < 0, 0, np.where(toxic > 0, 1, -1) * np.log(19))
         new = 1 / (1 + np.exp(-np.clip(ll, -30, 30)))
         if np.abs(new - q).max(initial=0) < 1e-6:
             break
@@ -151,6 +157,30 @@ def label_model(votes: np.ndarray, toxic: np.ndarray, rounds: int = 50) -> tuple
     return q, right, corr
 
 
+def dealt(rows: list[np.ndarray], strong: np.ndarray, lexicons: int = LEXICONS) -> np.ndarray:
+    """The lexicon of each of strong (feature numbers, best first): features that stand in mostly the same rows form a unit, units are dealt in turn."""
+    place = np.full(max((int(x.max()) for x in rows if len(x)), default=-1) + 1, -1)
+    strong = np.asarray(strong)
+    place[strong[strong < len(place)]] = np.flatnonzero(strong < len(place))
+    both = np.zeros((len(strong), len(strong)))
+    for k in range(0, len(rows), 8192):
+        dense = np.zeros((min(8192, len(rows) - k), len(strong)), np.float32)
+        for i, x in enumerate(rows[k : k + 8192]):
+            own = place[x]
+            dense[i, own[own >= 0]] = 1
+        both += dense.T @ dense
+    size = np.diag(both)
+    alike = both / np.maximum(size[:, None] + size[None] - both, 1)
+    unit = np.full(len(strong), -1)
+    n = 0
+    for k in range(len(strong)):
+        if unit[k] < 0:
+            unit[(alike[k] >= TOGETHER) & (unit < 0)] = n
+            unit[k] = n
+            n += 1
+    return unit % lexicons
+
+
 def _logistic(rows: list[np.ndarray], target: np.ndarray, width: int, l2: float = 0.5, steps: int = 300) -> tuple[np.ndarray, float]:
     """L2-regularised logistic regression on soft targets over binary features, by accelerated gradient steps scaled for each feature."""
     length = np.fromiter(map(len, rows), np.int64, len(rows))
@@ -171,42 +201,44 @@ def _logistic(rows: list[np.ndarray], target: np.ndarray, width: int, l2: float
     return w, b
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> ToxicityModel:
-    """Fit on text of docs and toxic of labels, over rows with both that are not held out.
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS, max_unlabelled: int = MAX_UNLABELLED_ROWS, gold: bool = False) -> ToxicityModel:
+    """Fit on text of docs and toxic of labels, over rows that are not held out.
 
-    At most about max_rows labelled rows, by the hash of doc_id; their ids and labels, which that bounds, are broadcast, so no text is shuffled. The driver gets FEATURES features, and of each sampled row the indices of those it has. Without a labelled row, or with one class only, the model scores every text by the share of toxic rows.
+    At most about max_rows labelled rows and max_unlabelled others, by the hash of doc_id; the ids and labels of the former, which that bounds, are broadcast, so no text is shuffled. The sample is written once. The driver gets FEATURES features, and of each sampled row the indices of those it has. gold lets labels vote in the label model. Without a labelled row, or with one class only, the model scores every text by the share of toxic rows.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    n = known.count()
-    share = min(1.0, max_rows / max(n, 1))
-    known = known.where(sampled("doc_id", 3, share))
-    rows = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text").join(F.broadcast(known), "doc_id").select("text", "toxic")
-    counts = rows.mapInArrow(_counts, "feature long, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    size = known.groupBy().agg(F.sum(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("p"), F.count("*").alias("n")).first()
+    known = known.where(sampled("doc_id", 3, min(1.0, max_rows / max(known.count(), 1)))).select(F.col("doc_id").alias("known_id"), "toxic")
+    rows = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "text")
+    others = sampled("doc_id", 4, min(1.0, max_unlabelled / max(docs.select("doc_id").count(), 1)))
+    rows = rows.join(F.broadcast(known), F.col("doc_id") == F.col("known_id"), "left").where(F.col("toxic").isNotNull() | others)
+    rows = written(rows.select("text", F.coalesce(F.sign("toxic").cast("int"), F.lit(-1)).alias("toxic")), "toxicity_sample")
+    size = rows.where("toxic >= 0").agg(F.sum("toxic").alias("p"), F.count("*").alias("n")).first()
     p, total = float(size["p"] or 0), float(size["n"] or 0)
     rate = (p + 0.5) / (total + 1)
     empty = np.zeros(0)
     if not p or p == total:
+        remove(docs.sparkSession, rows.path)
         return ToxicityModel(empty.astype(np.int64), empty, float(np.log(rate / (1 - rate))), empty, empty)
+    counts = rows.where("toxic >= 0").mapInArrow(_counts, "feature long, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     expected = (F.col("pos") + F.col("neg")) * F.lit(p / total)
     scored = counts.where("pos + neg >= 4").withColumn("z", (F.col("pos") - expected) / F.sqrt(expected * (1 - p / total) + 1))
     # a feature counts by how far its toxic share stands out, the more so where it is pure
     top = scored.where("z > 2").orderBy(F.desc(F.col("z") * F.col("pos") / (F.col("pos") + F.col("neg"))), "feature").limit(FEATURES).toPandas()
     wanted = top["feature"].to_numpy(np.int64)
     pure = (top["pos"] / (top["pos"] + top["neg"] + 1)).to_numpy()
-    strong = np.flatnonzero((pure > 0.6) & (top["z"].to_numpy() > 4))
+    strong = np.flatnonzero((pure > 0.6) & (top["z"].to_numpy() > 4))[:LEXICON_FEATURES]
     got = rows.mapInArrow(_examples(wanted), "toxic int, own array<int>, shapes array<int>").toArrow()
+    remove(docs.sparkSession, rows.path)
     own = [np.array(x, np.int64) for x in got.column("own").to_pylist()]
     toxic = np.array(got.column("toxic").to_pylist(), np.int64)
     group = np.full(len(wanted), -1)
-    group[strong] = np.arange(len(strong)) % LEXICONS
+    group[strong] = dealt(own, strong)
     votes = np.zeros((len(own), VOTERS), np.int8)
     for i, x in enumerate(own):
         g = group[x]
         votes[i, g[g >= 0]] = 1
-    votes[:, LEXICONS : LEXICONS + len(PATTERNS)] = np.array(got.column("shapes").to_pylist(), np.int8).reshape(-1, len(PATTERNS))
-    votes[:, -1] = np.where(votes[:, :-1].any(axis=1), 0, -1)
-    posterior, right, corr = label_model(votes, toxic)
+    votes[:, LEXICONS:] = np.array(got.column("shapes").to_pylist(), np.int8).reshape(-1, len(PATTERNS))
+    posterior, right, corr = label_model(votes, toxic, gold=gold)
     weights, intercept = _logistic(own, posterior, len(wanted))
     return ToxicityModel(wanted, weights, intercept, right, corr)
 
