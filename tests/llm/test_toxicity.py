@@ -15,8 +15,10 @@ def test_label_model_finds_accuracies():
         votes[:, j] = np.where(RNG.random(4000) < cover, 2 * said - 1, 0)
     votes[:, 3] = votes[:, 1]  # a copy
     known = np.where(RNG.random(4000) < 0.1, y, -1)
-    post, right, corr = toxicity.label_model(votes, known)
+    post, right, corr = toxicity.label_model(votes, known, gold=True)  # with labels that vote
     assert ((post > 0.5) == y).mean() > 0.85
+    silent, theirs, _ = toxicity.label_model(votes, known)  # and without: the order of the voters, and how right they are together
+    assert ((silent > 0.5) == y).mean() > 0.85 and theirs[:2].min() > 0.8 > theirs[2]
     assert np.allclose(right[:3], [0.95, 0.8, 0.65], atol=0.08)
     assert corr[1, 3] > 0.95 > abs(corr[0, 2]) + 0.5
 
@@ -57,7 +59,7 @@ def test_label_model_discounts_a_voter_that_the_others_contradict():
 
 
 def test_features_of_the_same_rows_share_a_lexicon():
-    rows = [np.array(x) for x in ([0, 1, 5], [0, 1], [0, 1, 2], [2, 3], [2], [3, 5], [3], [])] * 5
+    rows = [np.array(x, int) for x in ([0, 1, 5], [0, 1], [0, 1, 2], [2, 3], [2], [3, 5], [3], [])] * 5
     lexicon = toxicity.dealt(rows, np.array([0, 1, 2, 3]), 3)
     assert lexicon[0] == lexicon[1] and len({lexicon[0], lexicon[2], lexicon[3]}) == 3
 
