@@ -160,7 +160,8 @@ def test_communities_label_every_vertex(spark):
     g = _graph(spark, pairs)
     want = {frozenset(range(4)), frozenset(range(10, 14))}
     values = spark.createDataFrame([(v, v // 10) for v in [*range(4), *range(10, 14)]], "cell long, value long")
-    for df in (gcn.louvain(g), gcn.stoc(g, values, 0.5), gcn.sa_cluster(g, values, 2), gcn.edge_betweenness(g, 2)):
+    both = _graph(spark, pairs + [(b, a) for a, b in pairs])  # a walk follows the direction of edges
+    for df in (gcn.louvain(g), gcn.stoc(g, values, 0.5), gcn.sa_cluster(both, values, 2), gcn.edge_betweenness(g, 2)):
         found = {}
         for r in df.collect():
             found.setdefault(r["community"], set()).add(r["cell"])
@@ -255,3 +256,92 @@ def test_a_cluster_needs_a_named_shared_folder():
 
     with pytest.raises(ValueError, match="checkpoint"):
         lineage.shared_dir(Unnamed)
+
+
+def test_stme_by_hand():
+    """Two tight groups and a far point: each group grows from its densest point, the far one is noise."""
+    ids = [1, 2, 3, 4, 11, 12, 13, 14, 99]
+    near = [[2, 3, 4], [1, 3, 4], [1, 2, 4], [3, 2, 1], [12, 13, 14], [11, 13, 14], [11, 12, 14], [13, 12, 11], [14, 13, 12]]
+    refined = [[2, 3], [1, 3, 4], [1, 2, 4], [3, 2], [12, 13, 14], [11, 13], [11, 12, 14], [13, 11], []]
+    far = [3.0, 1.0, 1.5, 3.0, 2.0, 2.5, 2.1, 4.0, 50.0]
+    assert cluster.expand_clusters(ids, far, near, refined, 2) == [2, 2, 2, 2, 11, 11, 11, 11, -1]
+    # with three refined neighbours wanted, 1 and 4 are no cores but are reached; noise that was judged first is taken in later
+    assert cluster.expand_clusters(ids, [0.5, *far[1:]], near, refined, 3) == [2, 2, 2, 2, 11, 11, 11, 11, -1]
+    # its refined neighbours all taken, a point joins their label and begins nothing
+    assert cluster.expand_clusters([1, 2, 3, 4], [1, 2, 3, 4], [[2, 3]] * 4, [[2, 3], [1, 3], [1, 2], [2, 3]], 2) == [1, 1, 1, 1]
+
+
+def _stme_plain(xy, k, shared, least):
+    d = ((xy[:, None] - xy[None]) ** 2).sum(axis=2)
+    np.fill_diagonal(d, np.inf)
+    near = np.argsort(d, axis=1, kind="stable")[:, :k]
+    sets = [set(r) for r in near.tolist()]
+    refined = [[j for j in near[i].tolist() if i in sets[j] and len(sets[i] & sets[j]) >= shared] for i in range(len(xy))]
+    return cluster.expand_clusters(list(range(len(xy))), np.sqrt(np.take_along_axis(d, near[:, -1:], 1)[:, 0]).tolist(), near.tolist(), refined, least)
+
+
+def test_stme_over_joins_equals_plain(spark):
+    rng = np.random.default_rng(4)
+    lon = np.concatenate([120.11 + 0.002 * rng.normal(size=60), 120.16 + 0.003 * rng.normal(size=60), rng.uniform(120.1, 120.2, 30)])
+    lat = np.concatenate([30.25 + 0.002 * rng.normal(size=60), 30.28 + 0.002 * rng.normal(size=60), rng.uniform(30.23, 30.3, 30)])
+    pts = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(zip(lon, lat, strict=True))], "id long, lon double, lat double")
+    x = geo.RADIUS * lon * geo.RADIAN
+    s = np.sin(lat * geo.RADIAN)
+    xy = np.stack([x, geo.HALF_RADIUS * np.log((1 + s) / (1 - s))], axis=1)
+    want = _stme_plain(xy, 10, 5, 4)
+    got = {r["id"]: r["cluster"] for r in cluster.stme(pts, 10, 5, 4, 400.0).collect()}
+    assert [got[i] for i in range(150)] == want and len(set(want)) > 2 and -1 in want
+    rounds = {r["id"]: (r["cluster"], r["round"]) for r in cluster.stme_rounds(pts, [(10, 5, 4), (6, 2, 2)], 400.0).collect()}
+    assert all(rounds[i] == (c, 0) for i, c in enumerate(want) if c != -1) and {r for c, r in rounds.values()} <= {0, 1, None}
+    parts = cluster.stme_within(pts, cluster.stme(pts, 10, 5, 4, 400.0), 6, 2, 2).collect()
+    assert {r["id"] for r in parts} == {i for i, c in enumerate(want) if c != -1} and all(got[r["part"]] == r["cluster"] for r in parts if r["part"] != -1)
+    report = cluster.stme_report(pts, [(10, 5, 4)], 400.0)
+    assert abs(report["noise"].first()["noise"] - np.mean(np.array(want) == -1)) < 1e-9
+    assert report["hulls"].count() == len(set(want) - {-1})
+
+
+def test_greedy_compression(spark):
+    ends, poi_at = np.array([[0.0, 0], [10, 0], [20, 0], [100, 0], [500, 0]]), np.array([[-40.0, 0], [12, 0], [130, 0]])
+    # the first gathers 0, 10 and 20 within 50; POI 7 (at 12) and 5 (at -40) are near two or more of them, 7 near all
+    assert cluster.greedy_compression([1, 2, 3, 4, 9], ends, [5, 7, 8], poi_at, 50.0) == {1: 7, 2: 7, 3: 7, 4: 8}
+    lonlat = [(i, x / geo.RADIUS / geo.RADIAN, 0.0) for i, (x, _) in zip([1, 2, 3, 4, 9], ends.tolist(), strict=True)]
+    pois = [(i, "x", x / geo.RADIUS / geo.RADIAN, 0.0) for i, (x, _) in zip([5, 7, 8], poi_at.tolist(), strict=True)]
+    got = cluster.compress_to_poi(spark.createDataFrame(lonlat, "id long, lon double, lat double"), spark.createDataFrame(pois, "poi_id long, category string, lon double, lat double"), 50.0)
+    assert dict(map(tuple, got.collect())) == {1: 7, 2: 7, 3: 7, 4: 8}
+
+
+def test_spherical_dbscan(spark):
+    rng = np.random.default_rng(6)
+    at = np.stack([120.1 + 0.01 * rng.random(80), 60.0 + 0.005 * rng.random(80)], axis=1)
+    pts = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(at)], "id long, lon double, lat double")
+    r = np.radians(at)
+    h = np.sin((r[:, None, 1] - r[None, :, 1]) / 2) ** 2 + np.cos(r[:, None, 1]) * np.cos(r[None, :, 1]) * np.sin((r[:, None, 0] - r[None, :, 0]) / 2) ** 2
+    near = 2 * geo.RADIUS * np.arcsin(np.sqrt(h)) <= 60
+    cores = set(np.flatnonzero(near.sum(axis=1) >= 4).tolist())
+    got = {x["id"]: x["cluster"] for x in cluster.dbscan(pts, 60.0, 4, sphere=True).collect()}
+    assert cores and {i for i in range(80) if got[i] == -1} == {i for i in range(80) if i not in cores and not any(near[i, j] for j in cores)}
+    assert all(got[i] == got[j] for i in cores for j in cores if near[i, j])
+
+
+def test_walk_medoids_and_weights():
+    link = np.zeros((6, 6))
+    for a, b in ((0, 1), (1, 2), (0, 2), (3, 4), (4, 5), (3, 5)):
+        link[a, b] = link[b, a] = 1
+    values = np.array([[0, 0], [0, 1], [0, 0], [1, 1], [1, 0], [1, 1]])
+    owner, medoids = gcn.walk_medoids(link, values, 2)
+    assert len(set(owner[:3])) == len(set(owner[3:])) == 1 and owner[0] != owner[3] and {m // 3 for m in medoids.tolist()} == {0, 1}
+
+
+def test_gcc_lowers_the_loss_and_infers(spark):
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(size=(30, 4)) + [5, 0, 0, 0], rng.normal(size=(30, 4)) + [0, 5, 0, 0]])
+    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "i long, x array<double>")
+    found, w, centres, losses = gcn.gcc_fit(rows, 4, 2)
+    got = {r["i"]: r["cluster"] for r in found.collect()}
+    assert len({got[i] for i in range(30)}) == len({got[i] for i in range(30, 60)}) == 1 and got[0] != got[59]
+    assert np.allclose(w.T @ w, np.eye(2), atol=1e-9) and all(a >= b for a, b in zip(losses, losses[1:]))
+    g = np.array([got[i] for i in range(60)])
+    assert abs(np.linalg.norm(x - centres[g] @ w.T) - losses[-1]) < 1e-3
+    again, loss = gcn.gcc_infer(rows, w, 4, 2)
+    same = {r["i"]: r["cluster"] for r in again.collect()}
+    assert len({(got[i], same[i]) for i in got}) == 2 and abs(loss - losses[-1]) < 1e-3

@@ -12,6 +12,7 @@ from wayloom.operators import cluster as cl
 from wayloom.operators import gcn, graph, metrics, od, poi, vocab
 from wayloom.operators import trips as tr
 from wayloom.sources import fixtures as fx
+from wayloom.plans.lineage import cut
 from wayloom.sources import tables
 
 REGION = fx.REGION
@@ -610,9 +611,7 @@ def stme(spark, d):
 @query
 def delaunay_clusters(spark, d):
     pts = od.centres(od.cell_points(tr.endpoints(fx.trips(spark, d)), REGION)).select(F.col("cell").alias("id"), "lon", "lat")
-    e = cl.delaunay_edges(pts, 50_000.0)
-    a = e.join(pts.select(F.col("id").alias("a"), F.col("lon").alias("x1"), F.col("lat").alias("y1")), "a").join(pts.select(F.col("id").alias("b"), F.col("lon").alias("x2"), F.col("lat").alias("y2")), "b")
-    return cl.bounded_kruskal(pts, a.select("a", "b", geo.metres(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2")).alias("distance")), 8)
+    return cl.delaunay_clusters(cut(pts), 6, REGION.x_step, 8)
 
 
 @query
