@@ -187,7 +187,7 @@ def test_files_round_trip(spark, sf_dir, tmp_path):
     tables.write_token_lines(tok, "tokens", str(tmp_path / "tok"))
     lines = tables.read_token_lines(spark, str(tmp_path / "tok"))
     assert lines.count() == tok.count() and lines.first()["tokens"][0] == 1
-    flows = od.grid_rows(od.dense_slices(od.slices(t, R), 0, 3, [0, 1]), R)
+    flows = od.grid_rows(od.dense_slices(od.slices(t, R), 0, 3, [0, 1]), R, 0, [0, 1])
     tables.write_csv(flows, str(tmp_path / "grid"))
     assert tables.read_flow_csv(spark, str(tmp_path / "grid")).count() == 16
     assert tables.grid_geo(spark).count() == 100

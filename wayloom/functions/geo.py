@@ -97,3 +97,30 @@ def scale(value: Column, low: Column, high: Column, to_low: float, to_high: floa
 def od_pair_distance(o1, d1, o2, d2) -> Column:
     """The lesser of the summed end distances of two OD pairs as they stand and crossed, in hundreds of metres; points are (lon, lat) Columns."""
     return F.least(metres(*o1, *o2) + metres(*d1, *d2), metres(*o1, *d2) + metres(*d1, *o2)) / lit(100)
+
+
+def gps_key(lon: Column, lat: Column, sec: Column) -> Column:
+    """lon_lat_sec as text, five and six decimals."""
+    return F.concat_ws("_", F.format_string("%.5f", lon), F.format_string("%.6f", lat), sec.cast("string"))
+
+
+def three_stops(value: Column, low: float, middle: float, high: float) -> Column:
+    """Place of a value on a scale of three stops: 0 at low, 0.5 at middle, 1 at high, straight between and level beyond."""
+    first = scale(value, lit(low), lit(middle), 0.0, 0.5)
+    second = scale(value, lit(middle), lit(high), 0.5, 1.0)
+    return F.greatest(lit(0.0), F.least(lit(1.0), F.when(value < lit(middle), first).otherwise(second)))
+
+
+def place_of_least(values: Column) -> Column:
+    """Place (from 0) of the least element of an array, the first of equal ones."""
+    return (F.array_position(values, F.array_min(values)) - 1).cast("long")
+
+
+def place_of_greatest(values: Column) -> Column:
+    """Place (from 0) of the greatest element of an array, the first of equal ones."""
+    return (F.array_position(values, F.array_max(values)) - 1).cast("long")
+
+
+def jaccard_distance(a: Column, b: Column) -> Column:
+    """1 less the share of common elements of two arrays; 0 for two empty ones."""
+    return lit(1) - F.coalesce(F.try_divide(F.size(F.array_intersect(a, b)), F.size(F.array_union(a, b))), lit(1))

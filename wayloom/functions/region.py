@@ -63,6 +63,14 @@ class Region:
         """Closed box test."""
         return lon.between(geo.lit(self.min_lon), geo.lit(self.max_lon)) & lat.between(geo.lit(self.min_lat), geo.lit(self.max_lat))
 
+    def contains_at(self, lon: Column, lat: Column, sec: Column, first: int = 0, last: int = 86400) -> Column:
+        """Closed box and time test."""
+        return self.contains(lon, lat) & sec.between(first, last)
+
+    def polygon_time_cell(self, polygon: Column, polygons: int, sec: Column) -> Column:
+        """Id of a polygon and slice: the slice times the number of polygons, plus the polygon."""
+        return self.slice(sec) * F.lit(polygons).cast("long") + polygon.cast("long")
+
     def cell(self, lon: Column, lat: Column) -> Column:
         """Row-major cell id, also for points outside (which may fall beyond the grid)."""
         y = F.floor(F.round(geo.northing(lat) - geo.lit(self.min_y), 6) / geo.lit(self.y_step))

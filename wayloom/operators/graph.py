@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wayloom.functions import geo
-from wayloom.functions.region import Region
 from wayloom.plans.lineage import cut
 
 
@@ -113,10 +112,12 @@ def normalised(graph: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def propagate(adjacency: DataFrame, features: DataFrame, power: int) -> DataFrame:
-    """(i, k, x) after power products of adjacency (i, j, w) with features (i, k, x): a join and a partial sum a hop, cut after each."""
+    """(i, k, x) after power products of adjacency (i, j, w) with features (i, k, x): a join and a partial sum a hop, cut after every third, so that plans stay short."""
     x = features
-    for _ in range(power):
-        x = cut(adjacency.join(x.select(F.col("i").alias("j"), "k", "x"), "j").groupBy("i", "k").agg(F.sum(F.col("w") * F.col("x")).alias("x")))
+    for hop in range(power):
+        x = adjacency.join(x.select(F.col("i").alias("j"), "k", "x"), "j").groupBy("i", "k").agg(F.sum(F.col("w") * F.col("x")).alias("x"))
+        if hop % 3 == 2:
+            x = cut(x)
     return x
 
 
@@ -139,5 +140,62 @@ def remaining(vertices: DataFrame, taken: DataFrame, key: str = "cell") -> DataF
     return vertices.join(taken.select(key).distinct(), key, "left_anti")
 
 
-def region_centres(graph: DataFrame, region: Region) -> DataFrame:
-    return region.centres(graph.sparkSession)
+def slice_line_graph(flows: DataFrame, at: int, mask: DataFrame | None = None, most: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of the line graph of one slice's positive flows, over the first most masked pairs."""
+    from wayloom.operators import od
+
+    chosen = None if mask is None else od.first_masked(flows, mask, most)
+    g = edges(od.slice_flows(flows, at, chosen))
+    return line_nodes(g), line_edges(g)
+
+
+def with_value(nodes: DataFrame, values: DataFrame) -> DataFrame:
+    """Line-graph nodes with the value (name, value) that is given for them, NULL where none is."""
+    return nodes.join(values.select("name", "value"), "name", "left")
+
+
+def without_isolated(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(name, community) of nodes that have a link."""
+    return labels.join(degrees(links).select("name"), "name", "left_semi")
+
+
+def visible(pairs: DataFrame, spatial: bool) -> DataFrame:
+    """Pairs of with_fake_edges to draw: fake ones in the spatial mode only."""
+    return pairs if spatial else pairs.where(~F.col("fake"))
+
+
+def community_members(labels: DataFrame, key: str = "cell") -> DataFrame:
+    """(community, n, members): members in order; a community without any has no row."""
+    return labels.where("community is not null").groupBy("community").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(key)).alias("members"))
+
+
+def node_trip_counts(nodes: DataFrame, trips: DataFrame) -> DataFrame:
+    """(name, trips, share): distinct trips along each node's OD pair and their place between the least and the greatest count, 0 where all are equal."""
+    n = nodes.select("name").join(trips_by_node(trips, nodes).groupBy("name").agg(F.countDistinct("trip_key").alias("trips")), "name", "left").select("name", F.coalesce("trips", F.lit(0)).alias("trips"))
+    ends = n.agg(F.min("trips").alias("low"), F.max("trips").alias("high"))
+    share = F.coalesce(F.try_divide(F.col("trips") - F.col("low"), F.col("high") - F.col("low")), F.lit(0.0))
+    return n.join(F.broadcast(ends)).select("name", "trips", share.alias("share"))
+
+
+def mean_trips(counts: DataFrame) -> DataFrame:
+    """(mean_trips): trips of each node on average, rounded down."""
+    return counts.agg(F.floor(F.sum("trips") / F.greatest(F.count("*"), F.lit(1))).alias("mean_trips"))
+
+
+def community_trips(labels: DataFrame, node_trips: DataFrame) -> DataFrame:
+    """(community, trip_key): trips of each community's nodes, once each."""
+    return node_trips.join(labels.select("name", "community"), "name").select("community", "trip_key").distinct()
+
+
+def centre_lines(labels: DataFrame, nodes: DataFrame, centres: DataFrame) -> DataFrame:
+    """(community, line_name, index, lon, lat): for a map, two rows for each node of a community, its origin's and its destination's centre; index counts a community's rows by node."""
+    at = nodes.join(labels.select("name", "community"), "name")
+    o, d = (centres.select(F.col("cell").alias(c), F.struct(F.lit(k).alias("k"), "lon", "lat").alias(e)) for k, (c, e) in enumerate((("src", "o"), ("dst", "d"))))
+    rows = at.join(o, "src").join(d, "dst").select("community", "name", F.explode(F.array("o", "d")).alias("e"))
+    own = Window.partitionBy("community").orderBy("name", "e.k")
+    return rows.select("community", F.col("name").alias("line_name"), (F.row_number().over(own) - 1).alias("index"), "e.lon", "e.lat")
+
+
+def by_distance(weighted: DataFrame) -> DataFrame:
+    """Edges (a, b, distance) by ascending distance, ties by ends."""
+    return weighted.orderBy("distance", "a", "b")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -94,10 +94,48 @@ def clustering_scores(rows: DataFrame, true: str, pred: str) -> dict[str, float]
     return {"accuracy": hit.sum() / n, "macro_f1": float(f1[: len(a)].mean()), "nmi": float(mi / both) if both else 1.0, "ari": float((index - expected) / top) if top else 1.0}
 
 
-def inertia(rows: DataFrame, centres: DataFrame, dim: int) -> DataFrame:
-    """(inertia): sum over rows (feature) of the square distance to the nearest of centres (centre), a few rows that every task holds."""
-    square = sum(((F.col("feature")[k] - F.col("centre")[k]) * (F.col("feature")[k] - F.col("centre")[k]) for k in range(dim)), F.lit(0.0))
-    return rows.select("vec_id", "feature").join(F.broadcast(centres.select("centre"))).groupBy("vec_id").agg(F.min(square).alias("square")).agg(F.sum("square").alias("inertia"))
+def _square(a: Column, b: Column) -> Column:
+    """Squared distance of two arrays."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x)
+
+
+def inertia(rows: DataFrame, centres: DataFrame, most: int = 10_000) -> DataFrame:
+    """(inertia): sum over rows (feature) of the square distance to the nearest of centres (centre); the centres, at most most, stand in one broadcast row."""
+    if centres.count() > most:
+        raise ValueError("too many centres for one row")
+    one = centres.agg(F.collect_list("centre").alias("centres"))
+    near = F.array_min(F.transform("centres", lambda c: _square(F.col("feature"), c)))
+    return rows.select("feature").join(F.broadcast(one)).agg(F.sum(near).alias("inertia"))
+
+
+def silhouette(rows: DataFrame, label: str) -> DataFrame:
+    """(silhouette): mean over rows (feature, label) of (b - a) / max(a, b) with squared distances, from each cluster's sums; rows that are alone in their cluster count 0."""
+    f = F.col("feature")
+    norm = F.aggregate(f, F.lit(0.0), lambda t, x: t + x * x)
+    data = rows.select(F.col(label).alias("own"), "feature", norm.alias("norm"))
+    dim = F.size("feature")
+    long = data.select("own", F.posexplode("feature").alias("k", "x")).groupBy("own", "k").agg(F.sum("x").alias("x"))
+    sums = long.groupBy("own").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "x"))), lambda e: e["x"]).alias("total"))
+    each = data.groupBy("own").agg(F.count("*").alias("n"), F.sum("norm").alias("norms")).join(sums, "own")
+    one = each.agg(F.collect_list(F.struct("own", "n", "norms", "total")).alias("all"))
+    dot = lambda t: F.aggregate(F.zip_with("feature", t, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    total = F.transform("all", lambda c: F.struct(c["own"].alias("c"), c["n"].alias("n"), (c["n"] * F.col("norm") + c["norms"] - 2 * dot(c["total"])).alias("d")))
+    got = data.where(dim > 0).join(F.broadcast(one)).withColumn("t", total)
+    mine = F.filter("t", lambda c: c["c"] == F.col("own"))[0]
+    a = F.try_divide(mine["d"], mine["n"] - 1)
+    b = F.array_min(F.transform(F.filter("t", lambda c: c["c"] != F.col("own")), lambda c: c["d"] / c["n"]))
+    return got.select(F.when(mine["n"] > 1, F.coalesce(F.try_divide(b - a, F.greatest(a, b)), F.lit(0.0))).otherwise(0.0).alias("s")).agg(F.avg("s").alias("silhouette"))
+
+
+def scores(rows: DataFrame, true: str, pred: str) -> DataFrame:
+    """One row (accuracy, macro_f1, nmi, ari) of clustering_scores."""
+    got = clustering_scores(rows, true, pred)
+    return rows.sparkSession.createDataFrame([tuple(float(got[k]) for k in ("accuracy", "macro_f1", "nmi", "ari"))], "accuracy double, macro_f1 double, nmi double, ari double")
+
+
+def mean_over_communities(measured: DataFrame, column: str, noise: int = -1) -> DataFrame:
+    """(mean): a measure's mean over communities that have it, noise left out."""
+    return measured.where(F.col("community") != noise).agg(F.avg(column).alias("mean"))
 
 
 def davies_bouldin(rows: DataFrame, label: str, dim: int) -> DataFrame:

@@ -36,7 +36,12 @@ def top_flow(flows: DataFrame, k: int) -> DataFrame:
 def hot_endpoints(pairs: DataFrame, bound: int) -> DataFrame:
     """trip_key and cells of each trip after the first bound of its pair, by trip_key: those that find the pair hot."""
     own = Window.partitionBy("o_cell", "d_cell").orderBy("trip_key")
-    return pairs.where("od_in_region").select("trip_key", "o_cell", "d_cell", F.row_number().over(own).alias("seen")).where(F.col("seen") > bound).drop("seen")
+    rows = pairs.where("od_in_region").select("trip_key", "o_cell", "d_cell")
+    if bound < 1:
+        return rows
+    # the first ones are limited within each task before the shuffle, so a busy pair sends bound rows from each
+    first = rows.withColumn("seen", F.row_number().over(own)).where(F.col("seen") <= bound)
+    return rows.join(first.select("trip_key"), "trip_key", "left_anti")
 
 
 def cells_used(flows: DataFrame) -> DataFrame:
@@ -79,13 +84,14 @@ def history(flows: DataFrame, first: int, last: int) -> DataFrame:
     return kept.select("o_cell", "d_cell", F.transform(F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long")), lambda s: F.coalesce(F.try_element_at("m", s), F.lit(0).cast("long"))).alias("history"))
 
 
-def grid_rows(dense: DataFrame, region: Region) -> DataFrame:
-    """The export form of dense slices: dyna_id, type, time, row and column ids, flow."""
+def grid_rows(dense: DataFrame, region: Region, first: int, cells: list[int]) -> DataFrame:
+    """The export form of dense_slices from first on over cells: dyna_id (the row's number, by its slice and cells), type, time, row and column ids, flow."""
+    place = lambda c: F.array_position(F.array(*[F.lit(x).cast("long") for x in sorted(cells)]), F.col(c)) - 1
+    number = ((F.col("slice") - first) * len(cells) + place("o_cell")) * len(cells) + place("d_cell")
     step = 86400 // region.time_step
     sec = (F.col("slice") % step) * region.time_step
-    at = Window.orderBy("slice", "o_cell", "d_cell")
     row, col = lambda c: F.floor(F.col(c) / region.num_x).cast("int"), lambda c: (F.col(c) % region.num_x).cast("int")
-    return dense.select((F.row_number().over(at) - 1).alias("dyna_id"), F.lit("state").alias("type"), F.concat(F.lpad((F.floor(F.col("slice") / step) + 1).cast("string"), 2, "0"), F.lit("T"), geo.clock(sec)).alias("time"), row("o_cell").alias("origin_row_id"), col("o_cell").alias("origin_column_id"), row("d_cell").alias("destination_row_id"), col("d_cell").alias("destination_column_id"), "flow")
+    return dense.select(number.cast("long").alias("dyna_id"), F.lit("state").alias("type"), F.concat(F.lpad((F.floor(F.col("slice") / step) + 1).cast("string"), 2, "0"), F.lit("T"), geo.clock(sec)).alias("time"), row("o_cell").alias("origin_row_id"), col("o_cell").alias("origin_column_id"), row("d_cell").alias("destination_row_id"), col("d_cell").alias("destination_column_id"), "flow")
 
 
 def cell_points(ends: DataFrame, region: Region) -> DataFrame:
@@ -119,3 +125,47 @@ def cluster_history(pairs: DataFrame) -> DataFrame:
 def hot_grid_graph(pairs: DataFrame, bound: int) -> DataFrame:
     """(o_cell, d_cell, flow) of the hot endpoints only: trips of a pair beyond its first bound."""
     return hot_endpoints(pairs, bound).groupBy("o_cell", "d_cell").agg(F.count("*").alias("flow"))
+
+
+def hot_flow(pairs: DataFrame, hot: list[int], shift: int = 0) -> DataFrame:
+    """(o_cell, d_cell, flow) of trips with both cells among hot, cell ids lessened by shift."""
+    kept = pairs.where(F.col("od_in_region") & F.col("o_cell").isin(hot) & F.col("d_cell").isin(hot))
+    return kept.groupBy((F.col("o_cell") - shift).alias("o_cell"), (F.col("d_cell") - shift).alias("d_cell")).agg(F.count("*").alias("flow"))
+
+
+def only_pairs(flows: DataFrame, pairs: DataFrame | None) -> DataFrame:
+    """flows of the OD pairs (o_cell, d_cell) in pairs; all where pairs is None."""
+    return flows if pairs is None else flows.join(pairs.select("o_cell", "d_cell").distinct(), ["o_cell", "d_cell"], "left_semi")
+
+
+def first_masked(flows: DataFrame, mask: DataFrame, most: int = 1000, cells: int = 100) -> DataFrame:
+    """(number, o_cell, d_cell): the first most pairs of mask by o_cell * cells + d_cell that have a flow."""
+    some = only_pairs(mask.select("o_cell", "d_cell").distinct(), flows.where("flow > 0"))
+    at = F.col("o_cell") * cells + F.col("d_cell")
+    return some.orderBy(at).limit(most).withColumn("number", F.row_number().over(Window.orderBy(at)) - 1).select("number", "o_cell", "d_cell")
+
+
+def slice_flows(flows: DataFrame, at: int, mask: DataFrame | None = None) -> DataFrame:
+    """(o_cell, d_cell, flow) of one slice, positive flows of masked pairs only."""
+    return only_pairs(flows.where((F.col("slice") == at) & (F.col("flow") > 0)), mask).select("o_cell", "d_cell", "flow")
+
+
+def sliding_history(flows: DataFrame, first: int, last: int, width: int = 767) -> DataFrame:
+    """(slice, o_cell, d_cell, flow, history): for every slice of a range of each pair that has a flow, its flow and those of the width slices before, the oldest first, 0 where there is none."""
+    kept = flows.where(F.col("slice").between(first - width, last)).groupBy("o_cell", "d_cell").agg(F.collect_list(F.struct("slice", "flow")).alias("f"))
+    # one dense array for each pair, of which every slice's history is a part
+    span = last - first + width + 1
+    filled = F.transform(F.sequence(F.lit(0), F.lit(span - 1)), lambda k: F.coalesce(F.try_element_at(F.map_from_entries(F.transform("f", lambda x: F.struct((x["slice"] - (first - width)).cast("int"), x["flow"]))), k), F.lit(0).cast("long")))
+    rows = kept.select("o_cell", "d_cell", filled.alias("dense")).select("o_cell", "d_cell", "dense", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long"))).alias("slice"))
+    at = (F.col("slice") - first).cast("int")
+    return rows.select("slice", "o_cell", "d_cell", F.get("dense", at + width).alias("flow"), F.slice("dense", at + 1, width).alias("history"))
+
+
+def flow_totals(grid: DataFrame) -> DataFrame:
+    """(rows, flow): number of rows and sum of the flow column of an export."""
+    return grid.agg(F.count("*").alias("rows"), F.coalesce(F.sum("flow"), F.lit(0)).alias("flow"))
+
+
+def pair_of(index: Column, cells: int = 100) -> tuple[Column, Column]:
+    """Origin and destination cell of a flattened pair index."""
+    return F.floor(index / cells).cast("long"), (index % cells).cast("long")

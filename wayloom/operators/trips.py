@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wayloom.functions import geo
 from wayloom.functions.region import FIRST_TOKEN, UNKNOWN_TOKEN, Region
+from wayloom.operators.sequences import numbered_within
+from wayloom.plans.lineage import cut
 
 
 def scope(trips: DataFrame, month: int, days: tuple[int, int], hours: tuple[int, int] = (0, 24)) -> DataFrame:
@@ -55,13 +57,18 @@ def segments(trips: DataFrame) -> DataFrame:
 
 
 def speed_summary(trips: DataFrame) -> DataFrame:
-    """trip_key, displacement_speed (between the ends), mean, min and max segment speed and the levels in order. Segments without time count in no figure and have no level."""
-    per = segments(trips).groupBy("trip_key").agg(
-        F.avg("speed").alias("mean_segment_speed"), F.min("speed").alias("min_speed"), F.max("speed").alias("max_speed"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("level").isNotNull(), F.struct("seq", "level")))), lambda x: x["level"].cast("string")), ",").alias("levels"),
-    )
+    """trip_key, displacement_speed (between the ends), mean, min and max segment speed and the levels in order. Segments without time count in no figure and have no level. All stands in the trip's row; nothing is shuffled."""
+
+    def speed(a: Column, b: Column) -> Column:
+        return geo.speed_kmh(geo.metres(a["lon"], a["lat"], b["lon"], b["lat"]), b["sec"] - a["sec"])
+
+    rest = F.expr("slice(points, 2, greatest(size(points) - 1, 0))")
+    speeds = F.filter(F.transform(rest, lambda b, i: speed(F.get("points", i), b)), lambda x: x.isNotNull())
+    mean = F.try_divide(F.aggregate("speeds", F.lit(0.0), lambda t, x: t + x), F.size("speeds"))
+    levels = F.array_join(F.transform("speeds", lambda x: geo.speed_level(x).cast("string")), ",")
     straight = geo.speed_kmh(geo.metres(F.col("o_lon"), F.col("o_lat"), F.col("d_lon"), F.col("d_lat")), F.col("end_sec") - F.col("start_sec"))
-    return trips.select("trip_key", straight.alias("displacement_speed")).join(per, "trip_key")
+    rows = trips.where(F.size("points") > 1).select("trip_key", straight.alias("displacement_speed"), speeds.alias("speeds"))
+    return rows.select("trip_key", "displacement_speed", mean.alias("mean_segment_speed"), F.array_min("speeds").alias("min_speed"), F.array_max("speeds").alias("max_speed"), levels.alias("levels"))
 
 
 def stride(trips: DataFrame, step: int) -> DataFrame:
@@ -77,9 +84,12 @@ def tokens(trips: DataFrame, region: Region, vocabulary: DataFrame | None = None
     cell = lambda p: region.cell_inside(p["lon"], p["lat"])
     if vocabulary is None:
         return trips.select("trip_key", F.transform("points", lambda p: F.coalesce(cell(p) + FIRST_TOKEN, F.lit(UNKNOWN_TOKEN))).alias("tokens"))
+    if region.cells <= 100_000:  # one row with the id of every cell, read by place
+        frame = trips.sparkSession.range(region.cells).select(F.col("id").alias("cell")).join(vocabulary.select("cell", "id"), "cell", "left")
+        ids = frame.agg(F.transform(F.sort_array(F.collect_list(F.struct("cell", "id"))), lambda x: x["id"]).alias("ids"))
+        return trips.join(F.broadcast(ids)).select("trip_key", F.transform("points", lambda p: F.coalesce(F.get("ids", cell(p)), F.lit(UNKNOWN_TOKEN))).alias("tokens"))
     rows = trips.select("trip_key", F.posexplode(F.transform("points", cell)).alias("seq", "cell"))
-    side = F.broadcast(vocabulary) if region.cells <= 100_000 else vocabulary
-    named = rows.join(side.select("cell", "id"), "cell", "left")
+    named = rows.join(vocabulary.select("cell", "id"), "cell", "left")
     return named.groupBy("trip_key").agg(F.transform(F.sort_array(F.collect_list(F.struct("seq", F.coalesce("id", F.lit(UNKNOWN_TOKEN)).alias("id")))), lambda x: x["id"]).alias("tokens"))
 
 
@@ -89,11 +99,12 @@ def collapse(values: Column) -> Column:
 
 
 def split_train(rows: DataFrame, order: list[str], day: tuple[str, ...] = ("month", "day")) -> DataFrame:
-    """part: the first 80 % (rounded down) of each day's rows train, the next 10 % valid, the rest test, in a stated order."""
-    own = Window.partitionBy(*day)
-    r, n = F.row_number().over(own.orderBy(*order)), F.count("*").over(own)
-    first, second = F.floor(n * 8 / 10), F.floor(n / 10)
-    return rows.withColumn("part", F.when(r <= first, "train").when(r <= first + second, "valid").otherwise("test"))
+    """part: the first 80 % (rounded down) of each day's rows train, the next 10 % valid, the rest test, in a stated order. Rows are numbered over all days, so a busy day is no single task."""
+    placed = cut(numbered_within(rows, list(day), [F.col(c) for c in order], "r"))
+    sizes = placed.groupBy(*day).agg(F.count("*").alias("of_day"))
+    first, second = F.floor(F.col("of_day") * 8 / 10), F.floor(F.col("of_day") / 10)
+    part = F.when(F.col("r") < first, "train").when(F.col("r") < first + second, "valid").otherwise("test")
+    return placed.join(F.broadcast(sizes), list(day)).withColumn("part", part).select(*rows.columns, "part")
 
 
 def noise(trips: DataFrame, variants: int = 16, keep_percent: int = 60, reach_m: int = 30, shift_s: int = 900) -> DataFrame:
@@ -133,3 +144,23 @@ def bounds(trips: DataFrame) -> DataFrame:
 def lookup(trips: DataFrame, keys: DataFrame) -> DataFrame:
     """The trips whose trip_key is among keys."""
     return trips.join(keys.select("trip_key").distinct(), "trip_key", "left_semi")
+
+
+def repeated_keys(ends: DataFrame, least: int = 2, most: int = 500) -> DataFrame:
+    """(trip_key, n, first_sec, last_sec) of the first most trips, by trip_key, that have at least least endpoints."""
+    tally = ends.groupBy("trip_key").agg(F.count("*").alias("n"), F.min("sec").alias("first_sec"), F.max("sec").alias("last_sec"))
+    return tally.where(F.col("n") >= least).orderBy("trip_key").limit(most)
+
+
+def in_place_order(ends: DataFrame) -> DataFrame:
+    """Endpoints by lon, then lat, then key."""
+    return ends.orderBy("lon", "lat", "trip_key", "flag")
+
+
+def nearest_centre(points: DataFrame, centres: DataFrame, key: str, most: int = 10_000) -> DataFrame:
+    """(key, cell): the centre (cell, lon, lat) least far in squared degrees, ties to the least cell. The centres, at most most, stand in one broadcast row."""
+    if centres.count() > most:
+        raise ValueError("too many centres for one row; use poi.nearest")
+    one = centres.agg(F.sort_array(F.collect_list(F.struct("cell", "lon", "lat"))).alias("centres"))
+    square = F.transform("centres", lambda c: F.struct(((c["lon"] - F.col("lon")) * (c["lon"] - F.col("lon")) + (c["lat"] - F.col("lat")) * (c["lat"] - F.col("lat"))).alias("s"), c["cell"].alias("cell")))
+    return points.join(F.broadcast(one)).select(key, F.array_min(square)["cell"].alias("cell"))

@@ -169,3 +169,8 @@ ORACLES = {
     "metric_log": "SELECT 'acc' AS metric, CAST('0.'||event_id AS DOUBLE) AS value, 0.5::DOUBLE AS std FROM events WHERE event_type = 'click' UNION ALL SELECT 'nmi', CAST('1.'||user_id AS DOUBLE), NULL FROM events WHERE event_type = 'click'",
     "event_slices": "SELECT CAST(epoch(time_bucket(INTERVAL '15 minutes', ts)) AS BIGINT) AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
 }
+
+
+from wayloom.plans.extended_sql import MORE  # noqa: E402 - builds on the parts above
+
+ORACLES |= MORE

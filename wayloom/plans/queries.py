@@ -260,7 +260,7 @@ def flow_slices_dense(spark, d):
 
 @query
 def flow_grid_export(spark, d):
-    return od.grid_rows(od.dense_slices(od.slices(fx.trips(spark, d), REGION), 480, 575, [0, 11, 22]), REGION).withColumn("dyna_id", F.col("dyna_id").cast("long"))
+    return od.grid_rows(od.dense_slices(od.slices(fx.trips(spark, d), REGION), 480, 575, [0, 11, 22]), REGION, 480, [0, 11, 22])
 
 
 @query
@@ -429,7 +429,7 @@ def poi_top3(spark, d):
 @query
 def poi_knn(spark, d):
     ends = tr.endpoints(fx.trips(spark, d)).where("flag = 0").select("trip_key", "lon", "lat")
-    return _rounded(poi.nearest(ends, fx.poi(spark, d), "trip_key", "poi_id", 3, 400.0), 3, "metres").withColumn("rank", F.col("rank").cast("long"))
+    return _rounded(poi.nearest(ends, fx.poi(spark, d), "trip_key", "poi_id", 3), 3, "metres").withColumn("rank", F.col("rank").cast("long"))
 
 
 @query
@@ -553,7 +553,7 @@ def contingency(spark, d):
 def inertia(spark, d):
     f = fx.features(spark, d)
     means = f.groupBy("label").agg(F.array(*[F.avg(F.col("feature")[k]) for k in range(DIM)]).alias("centre"))
-    return _rounded(metrics.inertia(f, means, DIM), 3, "inertia")
+    return _rounded(metrics.inertia(f, means), 3, "inertia")
 
 
 @query
@@ -664,3 +664,6 @@ def edge_sample(spark, d):
 
 def queries() -> dict[str, Query]:
     return dict(REGISTRY)
+
+
+from wayloom.plans import extended as _extended  # noqa: E402, F401 - registers its queries

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wayloom.functions.geo import lit
 from wayloom.functions.region import Region
+from wayloom.operators.sequences import numbered_within
 from wayloom.sources.tables import trips_from_points
 
 REGION = Region()
@@ -31,8 +32,7 @@ def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def numbered_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trips with idx, their number within the day by user."""
-    own = Window.partitionBy("month", "day").orderBy("user_id")
-    return trips(spark, sf_dir).withColumn("idx", F.row_number().over(own) - 1)
+    return numbered_within(trips(spark, sf_dir), ["month", "day"], [F.col("user_id")], "idx")
 
 
 def poi(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,8 +51,8 @@ def drop_table(spark: SparkSession, table: str) -> None:
 
 
 def jdbc_trips(spark: SparkSession, url: str, table: str, month: int, days: tuple[int, int], **options: str) -> DataFrame:
-    """Trips of a relational table with a JSON point list; the month and day predicate is pushed to the database."""
-    rows = spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
+    """Trips of a relational table with a JSON point list; the month and day predicate is pushed to the database, which is read with a connection for each day unless options say otherwise."""
+    rows = spark.read.format("jdbc").options(url=url, dbtable=table, **({"partitionColumn": "date", "lowerBound": str(days[0]), "upperBound": str(days[1] + 1), "numPartitions": str(max(1, days[1] - days[0] + 1))} | options)).load()
     return decode_points(rows.where((F.col("month") == month) & F.col("date").between(*days)), F.col("point_list")).drop("point_list")
 
 
@@ -95,3 +95,58 @@ def read_flow_csv(spark: SparkSession, path: str) -> DataFrame:
 def grid_geo(spark: SparkSession, rows: int = 10, columns: int = 10) -> DataFrame:
     """geo_id, type, row_id, column_id of a grid."""
     return spark.range(rows * columns).select(F.col("id").alias("geo_id"), F.lit("Grid").alias("type"), F.floor(F.col("id") / columns).cast("int").alias("row_id"), (F.col("id") % columns).cast("int").alias("column_id"))
+
+
+def trip_key(day: Column, index: Column) -> Column:
+    """day_index as text."""
+    return F.concat_ws("_", day, index)
+
+
+def parts_of_key(key: Column) -> tuple[Column, Column]:
+    """Day and index of a trip_key of two parts."""
+    parts = F.split(key, "_")
+    return F.get(parts, 0).cast("int"), F.get(parts, 1).cast("int")
+
+
+def pair_of_name(name: Column, sep: str = "_") -> tuple[Column, Column]:
+    """Origin and destination cell of a line-graph node's name."""
+    parts = F.split(name, sep)
+    return F.get(parts, 0).cast("long"), F.get(parts, 1).cast("long")
+
+
+def row_count(spark: SparkSession, table: str) -> int:
+    """Rows of a catalog table."""
+    return spark.table(table).count()
+
+
+def bootstrap(spark: SparkSession, table: str, trips: DataFrame) -> int:
+    """Create the table of trips where it is absent; its rows."""
+    ingest_if_absent(spark, table, trips)
+    return row_count(spark, table)
+
+
+def write_poi_index(poi: DataFrame, path: str, radius: float) -> None:
+    """Points of interest by square of radius Mercator metres (bx, by), sorted within files, so that searches of that radius read few row groups."""
+    from wayloom.functions import geo
+
+    at = poi.withColumn("bx", F.floor(geo.easting(F.col("lon")) / geo.lit(radius)).cast("long")).withColumn("by", F.floor(geo.northing(F.col("lat")) / geo.lit(radius)).cast("long"))
+    at.repartitionByRange("bx", "by").sortWithinPartitions("bx", "by", "poi_id").write.mode("overwrite").parquet(path)
+
+
+def write_result(rows: DataFrame, path: str) -> None:
+    """Keep a result (counts, heat, neighbours) as Parquet in place of what was there."""
+    rows.write.mode("overwrite").parquet(path)
+
+
+def empty_folder(spark: SparkSession, path: str) -> None:
+    """Remove what is in a folder; the folder itself is there afterwards."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.delete(target, True)
+    system.mkdirs(target)
+
+
+def within_bounds(poi: DataFrame, points: DataFrame) -> DataFrame:
+    """Points of interest in the bounding box of points (lon, lat)."""
+    box = points.agg(F.min("lon").alias("w"), F.max("lon").alias("e"), F.min("lat").alias("s"), F.max("lat").alias("n"))
+    return poi.join(F.broadcast(box)).where(F.col("lon").between(F.col("w"), F.col("e")) & F.col("lat").between(F.col("s"), F.col("n"))).select(*poi.columns)
