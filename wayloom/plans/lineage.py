@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Most keys that join_split broadcasts.
 HOT_KEYS = 1000
+#: A key that is never treated as hot.
+_NO_KEY = -(1 << 62) - 12345
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -58,11 +60,14 @@ def join_split(many: DataFrame, one: DataFrame, on: list[str], size: str, total:
     size names a column of one with the number of rows of many that have the key (or an upper bound), total is their sum. The keys with more than total / HOT_KEYS rows, fewer than HOT_KEYS of them by that, are broadcast, those of them whose payload most (a condition) allows; the rows they reach are dealt by a hash of their own through the shuffle join that serves the others. Key columns are of type long; size is not among the results.
     """
     names = [c for c in one.columns if c not in (*on, size)]
-    hot = one.where((F.col(size) > max(total // HOT_KEYS, 1)) & F.expr(most))
-    by_hand = F.broadcast(hot.select(*[F.col(c).alias(f"hot_{c}") for c in (*on, *names)], F.lit(True).alias("hot_there")))
+    hot = one.where((F.col(size) > max(total // HOT_KEYS, 1)) & F.expr(most) & (F.col(on[0]) != _NO_KEY))
+    by_hand = hot.select(*[F.col(c).alias(f"hot_{c}") for c in (*on, *names)], F.lit(True).alias("hot_there"))
+    # a row that leads nowhere keeps the plan the same where no key is hot
+    nowhere = one.sparkSession.range(1).select(*[F.lit(_NO_KEY).alias(f"hot_{c}") for c in on], *[F.lit(None).cast(one.schema[c].dataType).alias(f"hot_{c}") for c in names], F.lit(False).alias("hot_there"))
+    by_hand = F.broadcast(by_hand.unionByName(nowhere))
     met = many.join(by_hand, [F.col(c) == F.col(f"hot_{c}") for c in on], "left")
     # a reached row, or one without a key, takes part in the shuffle under a key of its own; it takes nothing from there
-    alone = F.col("hot_there") | F.col(on[0]).isNull()
+    alone = F.coalesce("hot_there", F.lit(False)) | F.col(on[0]).isNull()
     own = F.when(alone, F.xxhash64(F.monotonically_increasing_id())).otherwise(F.col(on[0]))
     met = met.withColumn("own_key", own)
     rest = one.select(*[F.col(c).alias(f"cold_{c}") for c in (*on, *names)])
