@@ -6,7 +6,6 @@ A store is a folder of Parquet tables. The ``chunk`` rows of ``rows`` hold each
 from __future__ import annotations
 
 import hashlib
-import itertools
 import os
 import re
 import zlib
@@ -63,9 +62,13 @@ class Encoder:
 
     def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """ids of texts one after another, and how many each has."""
-        found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        n = np.fromiter(map(len, found), np.int64, len(found))
-        return np.frombuffer(array("H", itertools.chain.from_iterable(found)), np.uint16).astype(WIDTH), n
+        ids, n = array("H"), array("q")
+        for k in range(0, len(texts), 64):  # what the library returns is large, and let go at once
+            for x in self.tokenizer.encode_batch_fast(texts[k : k + 64], add_special_tokens=False):
+                own = x.ids
+                n.append(len(own))
+                ids.extend(own)
+        return np.frombuffer(ids, np.uint16).astype(WIDTH), np.frombuffer(n, np.int64).copy()
 
     def _in_rows(self, pieces: pa.Array, together: int = 256) -> tuple[np.ndarray, np.ndarray]:
         """As _library, of pieces with the space before them that end in no white space: such a piece also ends a pre-token, so the ids of a row of them part by their bytes."""
@@ -136,17 +139,17 @@ class Encoder:
         begin = np.cumsum(n) - n
         coded = pc.dictionary_encode(split.flatten())
         pool, size, loose = self._spaced(coded.dictionary)
-        place = coded.indices.to_numpy().astype(np.int64)
+        place = coded.indices.to_numpy()
         # a text with a space after white space is split anew
         inner = np.ones(len(place), bool)
         inner[(begin + n - 1)[n > 0]] = False
-        odd = np.unique(np.repeat(np.arange(len(n)), n)[np.flatnonzero(loose[place] & inner)])
+        odd = np.unique(np.searchsorted(np.cumsum(n), np.flatnonzero(loose[place] & inner), side="right"))
         pieces = [_BREAK.split(t) for t in texts.take(pa.array(odd)).to_pylist()]
         again = pc.dictionary_encode(pa.array([p for own in pieces for p in own], pa.large_string()))
         n[odd] = [len(own) for own in pieces]
         begin[odd] = len(place) + np.cumsum(n[odd]) - n[odd]
         more, more_size, _ = self._spaced(again.dictionary)
-        place = np.concatenate([place, len(size) + again.indices.to_numpy()])
+        place = np.concatenate([place, (len(size) + again.indices.to_numpy()).astype(np.int32)])
         pool, size = np.concatenate([pool, more]), np.concatenate([size, more_size])
         # what begins a text has no space before it
         some = np.flatnonzero(n)
@@ -156,7 +159,7 @@ class Encoder:
         pool, size = np.concatenate([pool, more]), np.concatenate([size, more_size])
         more, more_size = self._library(texts.filter(pa.array(whole)).to_pylist())
         begin[whole], n[whole] = len(place) + np.arange(whole.sum()), 1
-        place = np.concatenate([place, len(size) + np.arange(whole.sum())])
+        place = np.concatenate([place, (len(size) + np.arange(whole.sum())).astype(np.int32)])
         pool, size = np.concatenate([pool, more]), np.concatenate([size, more_size])
         place = place[_runs(begin, n)]
         first, size = (np.cumsum(size) - size)[place], size[place]

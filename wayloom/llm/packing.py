@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wayloom.llm.common import written
 from wayloom.llm.idstore import Encoder, text_slices
 
 SIZES = (1024, 2048, 4096, 8192, 16384, 32768)
@@ -146,9 +147,9 @@ def pack_documents(docs: DataFrame, length: Column | None = None, sizes: Sequenc
     The number of groups follows the number of rows, so a task's memory doesn't; equal rows are counted first and dealt over groups, so that no key makes a group large.
     """
     length = byte_length(F.col("text")) if length is None else length
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.greatest(F.coalesce(length, F.lit(1)), F.lit(1)).cast("long").alias("length"))
+    rows = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.greatest(F.coalesce(length, F.lit(1)), F.lit(1)).cast("long").alias("length")), "lengths")
     same = rows.groupBy("doc_id", "length").agg(F.count("*").alias("n"))
-    groups = max(1, -(-docs.select("doc_id").count() // group_pieces))
+    groups = max(1, -(-rows.count() // group_pieces))
     parts = same.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / COPIES_TOGETHER)))).select(
         "doc_id", "length", "part", F.least(F.lit(COPIES_TOGETHER), F.col("n") - F.col("part") * COPIES_TOGETHER).alias("copies"),
         F.pmod(F.xxhash64("doc_id", "length", "part"), F.lit(groups)).alias("group"),
