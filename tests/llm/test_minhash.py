@@ -112,3 +112,30 @@ def test_sketch_limit_is_the_exact_tail():
             far.append((np.bincount(rng.integers(0, bits, 2 * differ), minlength=bits) & 1).sum())
         share = [(np.array(far) > k).mean() for k in (limit, limit - 2)]  # the population count is even
         assert share[0] < miss * 1.4 and share[1] > miss * 0.7
+
+
+def test_small_tables_stand_in_few_files(spark, monkeypatch):
+    """However many partitions a shuffle has, a table of a few rows is no file for each of them."""
+    files = []
+
+    def counted(df, name, *rows, real=lineage.written, **known):
+        out = real(df, name, *rows, **known)
+        files.append(len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(lineage, "written", counted)
+    monkeypatch.setattr(minhash, "written", counted)
+    long = [" ".join(f"w{d}x{k}" for k in range(60)) for d in range(30)]
+    texts = [*long, *[f"{t} more" for t in long], *[f"{t} and so on" for t in long]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    own = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in own}
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {k: k % 30 for k in range(90)}
+    assert max(files) <= 4 and sum(files) < 3 * len(files)

@@ -21,6 +21,8 @@ BANDS, ROWS, SKETCH_BITS = 32, 4, 512
 MISS = 1e-9
 #: Texts of keys that hold many pairs are broadcast up to so many bytes each, at most HOT_KEYS of them.
 HOT_TEXT = 1 << 16
+#: Rows without a text that a row with one counts as, when tables are dealt to files.
+TEXT_ROWS = 8
 #: Most rows, on average, of one side of a tile.
 TILE = 256
 
@@ -283,56 +285,62 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     schema = "doc_id long, text_id long, n_shingles long, set_a long, set_b long, keys array<long>, sketch array<long>"
     signed = written(texts.select("doc_id", "text", "text_id").mapInArrow(_signer(width, bands, rows, bits, seed), schema), "signed")
     some = signed.where("n_shingles > 0 and doc_id is not null")
+    n_signed = signed.count()
     # a class is what has equal sets; doc is its number from here on, first the least row that has it
     first = F.min(F.struct("doc_id", "text_id", "keys", "sketch")).alias("first")
-    classes = written(some.groupBy("set_a", "set_b").agg(first, F.count("*").alias("n")).withColumn("doc", F.monotonically_increasing_id()), "classes")
+    classes = written(some.groupBy("set_a", "set_b").agg(first, F.count("*").alias("n")).withColumn("doc", F.monotonically_increasing_id()), "classes", n_signed)
     sketches = classes.select("doc", *[F.col("first.sketch")[w].alias(f"s_{w}") for w in range(n_words)])
     member = classes.select("doc", F.explode("first.keys").alias("key"))
     shared = member.groupBy("key").agg(F.count("*").alias("n"), F.count("*").alias("size"), F.min("doc").alias("leader")).where("n > 1")
     n_classes, n_rows = classes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    member = written(join_split(member, shared, ["key"], "n", n_classes * bands).where("leader is not null"), "members")
+    member = written(join_split(member, shared, ["key"], "n", n_classes * bands).where("leader is not null"), "members", n_classes)
+    n_members = member.count()
 
     needed = classes.select(F.col("first.doc_id").alias("doc_id"), F.col("first.text_id").alias("text_id"), "doc").join(member.select("doc").distinct(), "doc")
-    held = written(texts.join(needed, ["doc_id", "text_id"]).dropDuplicates(["doc"]).select("doc", "text"), "texts")
+    held = written(texts.join(needed, ["doc_id", "text_id"]).dropDuplicates(["doc"]).select("doc", "text"), "texts", TEXT_ROWS * n_classes)
 
-    star = written(member.where("doc <> leader").select(F.col("doc").alias("a"), F.col("leader").alias("b")).distinct(), "star")
+    star = written(member.where("doc <> leader").select(F.col("doc").alias("a"), F.col("leader").alias("b")).distinct(), "star", n_members)
+    n_star = star.count()
     side = lambda of, extra=(): sketches.select(F.col("doc").alias(of), *[F.col(f"s_{w}").alias(f"{of}_{w}") for w in range(n_words)], *extra)
     other = star.groupBy("b").agg(F.count("*").alias("n")).join(side("b"), "b")
-    met = join_split(star.join(side("a"), "a"), other, ["b"], "n", star.count())
+    met = join_split(star.join(side("a"), "a"), other, ["b"], "n", n_star)
     far = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in range(n_words)), F.lit(0))
-    near_leader = written(met.where(far <= limit).select("a", "b"), "near_leader")
-    links = written(_confirmed(near_leader, held, width, percent).unionByName(_same_documents(some, classes)), "links")
-    parts = written(connected_components(links), "parts")
+    near_leader = written(met.where(far <= limit).select("a", "b"), "near_leader", n_star)
+    confirmed = written(_confirmed(near_leader, held, width, percent), "confirmed", TEXT_ROWS * near_leader.count())
+    links = written(confirmed.unionByName(_same_documents(some, classes)), "links", n_signed)
+    n_links = links.count()
+    parts = written(connected_components(links, rows=n_links), "parts", 2 * n_links)
 
     # of keys that hold several components: which of these have near sketches anywhere
     at = written(member.where("size > 2").join(parts.withColumnRenamed("node", "doc"), "doc", "left").withColumn("comp", F.coalesce("component", "doc")).drop("component"), "at")
+    n_at = at.count()
     apart = at.groupBy("key").agg(F.min("comp").alias("p"), F.max("comp").alias("q"), F.count("*").alias("n")).where("p <> q").drop("q")
     chunks = F.ceil(F.col("size") / TILE).cast("int")
-    rest = join_split(at, apart, ["key"], "n", at.count()).where("p is not null").join(sketches, "doc")
+    rest = join_split(at, apart, ["key"], "n", n_at).where("p is not null").join(sketches, "doc")
     rest = _tiles(rest, F.pmod(F.xxhash64("doc"), chunks), chunks, chunks)
     rest = rest.select("key", "i", "j", "side", "doc", "comp", "leader", *[f"s_{w}" for w in range(n_words)])
     rest = rest.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    near = written(rest.mapInArrow(_by_tile(_near_sketches(limit)), "a long, b long").distinct(), "near")
-    spent = [member, star, near_leader, at, near, held, links]
+    near = written(rest.mapInArrow(_by_tile(_near_sketches(limit)), "a long, b long").distinct(), "near", n_at)
+    spent = [member, star, near_leader, confirmed, at, near, held, links]
     if not near.isEmpty():
         # components that near sketches join are a group; in it, all but the largest component's documents meet all others with their full sets
-        group = connected_components(near).select(F.col("node").alias("comp"), F.col("component").alias("group"))
+        group = connected_components(near, rows=near.count()).select(F.col("node").alias("comp"), F.col("component").alias("group"))
         docs_of = member.select("doc").distinct().join(parts.withColumnRenamed("node", "doc"), "doc", "left").select("doc", F.coalesce("component", "doc").alias("comp"))
         sizes = group.join(docs_of.groupBy("comp").agg(F.count("*").alias("n")), "comp")
         largest = sizes.groupBy("group").agg(F.max(F.struct("n", "comp")).alias("most"), F.sum("n").alias("n")).select("group", F.col("most.comp").alias("major"), F.ceil(F.col("most.n") / TILE).alias("major_chunks"), F.ceil((F.col("n") - F.col("most.n")) / TILE).alias("minor_chunks"))
         of_comp = sizes.join(largest, "group")
-        placed = written(join_split(docs_of, of_comp, ["comp"], "n", n_classes).where("group is not null"), "placed")
+        placed = written(join_split(docs_of, of_comp, ["comp"], "n", n_classes).where("group is not null"), "placed", n_classes)
         minor, salt = F.col("minor_chunks"), F.xxhash64("doc")
         chunk = F.when(F.col("comp") == F.col("major"), minor + F.pmod(salt, F.col("major_chunks"))).otherwise(F.pmod(salt, minor))
         rest = _tiles(placed.join(held, "doc"), chunk, minor + F.col("major_chunks"), minor)
         rest = rest.select("group", "i", "j", "side", "doc", "comp", "text").repartition("group", "i", "j").sortWithinPartitions("group", "i", "j")
         more = rest.mapInArrow(_by_tile(_linked_sets(width, percent)), "a long, b long").distinct()
         spent += [placed, parts]
-        parts = written(connected_components(links.unionByName(more)), "parts")
+        parts = written(connected_components(links.unionByName(more), rows=n_links + n_at), "parts", 2 * (n_links + n_at))
 
     own = classes.select("set_a", "set_b", "n", "doc", F.col("first.doc_id").alias("least")).join(parts.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
     least = own.groupBy("component").agg(F.count("*").alias("classes"), F.min("least").alias("component_id"))
-    found = written(join_split(own.drop("least", "doc"), least, ["component"], "classes", n_classes).drop("component"), "found")
+    found = written(join_split(own.drop("least", "doc"), least, ["component"], "classes", n_classes).drop("component"), "found", n_classes)
     for table in [*spent, parts, classes]:
         remove(spark, table.path)
     linked = join_split(signed.select("doc_id", "n_shingles", "set_a", "set_b", (F.col("n_shingles") > 0).alias("some")), found, ["set_a", "set_b"], "n", n_rows)
